@@ -61,15 +61,32 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return majority(shingle_hashes(text, size))
 
 
-def fingerprints(documents: DataFrame, size: int = 4) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every document."""
+def fingerprints(documents: DataFrame, size: int = 4, wide: bool = False) -> DataFrame:
+    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every document.
+
+    A wide fingerprint has three more words, ``w1`` to ``w3``, made of other hashes of the same shingles.
+    """
+    names = list(WIDE if wide else WIDE[:1])
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.zeros((batch.num_rows, len(names)), dtype=np.uint64)
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                hashes = shingle_hashes(t, size)
+                for k in range(len(names)):
+                    found[i, k] = majority(hashes if k == 0 else mixed(hashes, k))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k].copy().view(np.int64)) for k in range(len(names)))], ["doc_id", *names])
+
+    schema = ", ".join(f"{n} long" for n in ("doc_id", *names))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+def mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Another hash of what was hashed: a bijection of 64-bit numbers, one for each ``number``."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * number % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def key_plan(distinct: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
@@ -87,17 +104,26 @@ def key_plan(distinct: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]
     return [[(cuts[i], cuts[i + 1] - cuts[i]) for i in chosen] for chosen in combinations(range(blocks), extra)]
 
 
-def sampled_plan(distinct: int, tables: int = 48, seed: int = 9) -> list[list[tuple[int, int]]]:
-    """Bucket keys for radii that no short list of exact keys serves: ``tables`` choices of four of the 16 nibbles.
+WIDE = ("fp", "w1", "w2", "w3")
 
-    Two fingerprints ``d`` bits apart share a given key with probability C(64 - d, 16) / C(64, 16); 48 tables find
-    99.9 % of the pairs at distance 6, 99 % at 8 and 90 % at 10. Past four million fingerprints keys have five
-    nibbles and twice the tables, which keeps buckets short.
+
+def sampled_keys(distinct: int, tables: int = 64, seed: int = 9):
+    """Bucket keys of wide fingerprints, for similarities whose distances no short list of exact keys reaches.
+
+    Each key is a sample of four nibbles of the 48 in ``w1`` to ``w3``. Shingle sets with a similarity of 0.8 differ in
+    about 15 % of the bits, so a pair shares a given key with probability 0.85**16 = 0.074 and one of 64 with 0.993.
+    Past four million fingerprints keys have five nibbles and there are twice as many, which keeps buckets short.
     """
     width = 4 if distinct <= 4_000_000 else 5
-    choices = np.array(list(combinations(range(16), width)))
-    drawn = np.random.default_rng(seed).permutation(len(choices))[: tables * (width - 3)]
-    return [[(4 * int(i), 4) for i in choices[k]] for k in drawn]
+    rng = np.random.default_rng(seed)
+    out = []
+    for number in range(tables * (width - 3)):
+        value = F.lit(number << 52).cast("long")
+        for place, nibble in enumerate(sorted(rng.choice(48, size=width, replace=False).tolist())):
+            part = F.shiftrightunsigned(F.col(WIDE[1 + nibble // 16]), 4 * (nibble % 16)).bitwiseAND(F.lit(15).cast("long"))
+            value = value.bitwiseOR(F.shiftleft(part, 4 * place))
+        out.append(value)
+    return F.array(*out)
 
 
 def _keys(fp, plan):
@@ -115,8 +141,12 @@ def pivots(count: int = PIVOTS, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, size=count, dtype=np.uint64)
 
 
-def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, points: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A forest of the links within ``radius`` among rows of one group; pairs of row numbers."""
+def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, points: np.ndarray | None = None, levels: tuple[int, ...] = ()) -> list[tuple[int, int]]:
+    """A forest of the links within ``radius`` among rows of one group; pairs of row numbers.
+
+    With ``levels`` (rising, up to the radius) close pairs are linked before distant ones, so that the forest is one
+    of nearly least total distance.
+    """
     points = pivots() if points is None else points
     tables = np.bitwise_count(fps[:, None] ^ points[None, :]).astype(np.int8)
     order = np.lexsort((tables[:, 0], groups))
@@ -124,31 +154,27 @@ def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, poin
     n = len(order)
     root = np.arange(n)
     links: list[tuple[int, int]] = []
-    active = np.arange(n - 1)
-    for d in range(1, n):
-        active = active[active < n - d]
-        if not len(active):
-            break
-        other = active + d
-        # Sorted by the first coordinate: a row that is out of reach at this step stays so.
-        active = active[(g[active] == g[other]) & (t[other, 0] - t[active, 0] <= radius)]
-        if not len(active):
-            break
-        a = active[root[active] != root[active + d]]
-        for c in range(1, t.shape[1], 5):
-            a = a[(np.abs(t[a, c : c + 5] - t[a + d, c : c + 5]) <= radius).all(1)]
-        a = a[np.bitwise_count(f[a] ^ f[a + d]) <= radius]
-        if len(a):
+    for limit in levels or (radius,):
+        active = np.arange(n - 1)
+        for d in range(1, n):
+            active = active[active < n - d]
+            # Sorted by the first coordinate: a row that is out of reach at this step stays so.
+            active = active[(g[active] == g[active + d]) & (t[active + d, 0] - t[active, 0] <= limit)]
+            if not len(active):
+                break
+            a = active[root[active] != root[active + d]]
+            for c in range(1, t.shape[1], 5):
+                a = a[(np.abs(t[a, c : c + 5] - t[a + d, c : c + 5]) <= limit).all(1)]
+            a = a[np.bitwise_count(f[a] ^ f[a + d]) <= limit]
+            if not len(a):
+                continue
             for i in a.tolist():
                 x, y = _find(root, i), _find(root, i + d)
                 if x != y:
                     root[max(x, y)] = min(x, y)
                     links.append((int(order[i]), int(order[i + d])))
-            while True:
-                flat = root[root]
-                if (flat == root).all():
-                    break
-                root = flat
+            while not (root[root] == root).all():
+                root = root[root]
     return links
 
 
@@ -160,6 +186,7 @@ def _find(root: np.ndarray, i: int) -> int:
 
 def _link_batches(radius: int):
     points = pivots()
+    levels = tuple(range(2, radius, 2)) + (radius,) if radius > RADIUS else ()
 
     def flush(key, tile, fp, rep):
         new = np.ones(len(key), dtype=bool)
@@ -168,7 +195,7 @@ def _link_batches(radius: int):
         size = np.bincount(group)[group]
         many = size > 1
         at = np.nonzero(many)[0]
-        found = bucket_links(group[at], fp[at].view(np.uint64), radius, points) if len(at) else []
+        found = bucket_links(group[at], fp[at].view(np.uint64), radius, points, levels) if len(at) else []
         u = [rep[at[i]] for i, _ in found]
         v = [rep[at[j]] for _, j in found]
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -190,15 +217,15 @@ def _link_batches(radius: int):
     return run
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, sampled: bool = False) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = RADIUS, keys=None) -> DataFrame:
     """Links ``u, v`` between representatives, enough to connect all fingerprints within ``radius``.
 
-    ``distinct`` has one row (``fp``, ``rep``) for each fingerprint. Only narrow rows are shuffled, once per table of
+    ``distinct`` has one row (``fp``, ``rep``) for each fingerprint. Only narrow rows are shuffled, once per key of
     the plan; a bucket over ``BUCKET_ROWS`` is spread over tiles, each a pair of its chunks, as tasks of their own.
-    ``sampled`` takes the keys of ``sampled_plan``, for radii beyond the reach of ``key_plan``.
+    ``keys`` is an array column of bucket keys to take instead of the plan's.
     """
-    plan = (sampled_plan if sampled else lambda n: key_plan(n, radius))(distinct.count())
-    keyed = distinct.select("fp", "rep", F.explode(_keys(F.col("fp"), plan)).alias("key"))
+    keys = _keys(F.col("fp"), key_plan(distinct.count(), radius)) if keys is None else keys
+    keyed = distinct.select("fp", "rep", F.explode(keys).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     chunks = F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(3), "fp"), F.col("chunks")).cast("int")
@@ -212,26 +239,62 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, sampled: bool = False)
     return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_link_batches(radius), "u long, v long")
 
 
-def cluster(prints: DataFrame, radius: int = RADIUS, sampled: bool = False) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``prints`` (which is read more than once)."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
-    parts = connected_components(near_links(distinct.where("rep IS NOT NULL"), radius, sampled))
-    named = distinct.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+def cluster(prints: DataFrame, links) -> DataFrame:
+    """``doc_id, fp, component_id`` for every row of ``prints`` (which is read more than once).
+
+    ``links`` makes the links between representatives out of the distinct fingerprints.
+    """
+    words = [c for c in WIDE if c in prints.columns]
+    distinct = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("rep")), "prints")
+    parts = connected_components(links(distinct.where("rep IS NOT NULL")))
+    named = distinct.join(parts, F.col("rep") == F.col("node"), "left").select(*words, F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, words).select("doc_id", "fp", "component_id")
+
+
+#: Ids that may be broadcast to pick the texts of candidate pairs; beyond it the join is shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def verified_links(documents: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` of ids whose texts' sets of word shingles have at least that Jaccard similarity."""
+    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "candidate-ids")
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+    sets = materialize(texts.mapInArrow(run, "id long, shingles array<long>"), "shingle-sets")
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
 
 
 def near_duplicates(documents: DataFrame, size: int = 4, radius: int = RADIUS) -> DataFrame:
     """Every document's fingerprint and the smallest ``doc_id`` that links of at most ``radius`` bits lead to."""
-    return cluster(materialize(fingerprints(documents, size), "fingerprints"), radius)
+    return cluster(materialize(fingerprints(documents, size), "fingerprints"), lambda distinct: near_links(distinct, radius))
+
+
+def similar_documents(documents: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 18) -> DataFrame:
+    """``doc_id, fp, component_id``: groups of documents whose word shingles are at least that similar.
+
+    SimHash finds the candidates, in buckets by sampled bits of wide fingerprints (``sampled_keys``); shingle sets
+    with a similarity of 0.8 are about 10 bits apart in the first word. Each bucket proposes its nearest pairs, and
+    the exact similarity of the two whole texts decides. Documents with equal fingerprints are taken as copies.
+    """
+    prints = materialize(fingerprints(documents, size, wide=True), "fingerprints")
+    return cluster(prints, lambda distinct: verified_links(documents, near_links(distinct, radius, sampled_keys(distinct.count())), size, similarity))
 
 
-def keep_representatives(documents: DataFrame, size: int = 5, radius: int = 10) -> DataFrame:
+def keep_representatives(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id; columns unchanged.
 
-    Word 5-shingles with a similarity of 0.8 have fingerprints about 8 bits apart, which the default radius covers.
     Rows that repeat an id count as one document and stay together; rows without an id are not compared.
     """
-    found = cluster(materialize(fingerprints(documents, size), "fingerprints"), radius, sampled=radius > RADIUS)
+    found = similar_documents(documents, size, similarity)
     key = fresh_name(documents.columns, "lost_id")
     lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
     return documents.join(lost, F.col("doc_id").cast("long") == F.col(key), "left_anti")

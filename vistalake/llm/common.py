@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -55,6 +58,18 @@ def remove_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def lean_worker() -> None:
+    """In a Python worker: gives back what the tokenizer's tasks remembered, before a task of another kind."""
+    packing = sys.modules.get("vistalake.llm.packing")
+    if packing is not None and packing.encoder_of.cache_info().currsize:
+        packing.encoder_of.cache_clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            return  # another C library: the memory stays with the worker, for its own use
+
+
 def fresh_name(taken, wanted: str) -> str:
     """``wanted``, with underscores in front until no column of ``taken`` has that name (case ignored)."""
     have = {c.lower() for c in taken}

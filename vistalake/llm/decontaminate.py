@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import fresh_name, table
+from vistalake.llm.common import fresh_name, lean_worker, table
 
 SIZE, SIMILARITY, RADIUS = 5, 0.8, 19
 BLOCK_BYTES = 16 << 20
@@ -237,6 +237,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
         carrier = documents.sparkSession.sparkContext.broadcast(items)
 
         def run(batches):
+            lean_worker()
             index = build_index(carrier.value)
             known = _Known(index.vocabulary)
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -261,6 +262,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, similarity: fl
 
         @F.pandas_udf("boolean")
         def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            lean_worker()
             index = build_index(carrier.value)
             known = _Known(index.vocabulary)
             for texts in parts:

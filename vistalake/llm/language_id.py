@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import crc_bucket, fresh_name, table
+from vistalake.llm.common import crc_bucket, fresh_name, lean_worker, table
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3, 4)
@@ -213,6 +213,7 @@ def reject(documents: DataFrame, model: Model | None, floor: float = 0.0) -> Dat
     def keep(texts):
         import pandas as pd
 
+        lean_worker()
         labels, scores = score(carrier.value, [None if t is None else t for t in texts])
         return pd.Series([x != UNDETERMINED and s >= floor for x, s in zip(labels, scores)], dtype=bool)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import fresh_name, materialize, table
+from vistalake.llm.common import fresh_name, lean_worker, materialize, table
 from vistalake.llm.components import connected_components
 
 SEED, RADIUS, PIVOTS = 42, 4, 16
@@ -69,6 +69,7 @@ def fingerprints(documents: DataFrame, size: int = 4, wide: bool = False) -> Dat
     names = list(WIDE if wide else WIDE[:1])
 
     def run(batches):
+        lean_worker()
         for batch in batches:
             found = np.zeros((batch.num_rows, len(names)), dtype=np.uint64)
             for i, t in enumerate(batch.column(1).to_pylist()):
@@ -201,6 +202,7 @@ def _link_batches(radius: int):
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     def run(batches):
+        lean_worker()
         held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
             held = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
@@ -262,6 +264,7 @@ def verified_links(documents: DataFrame, pairs: DataFrame, size: int, similarity
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
     def run(batches):
+        lean_worker()
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
@@ -278,7 +281,7 @@ def near_duplicates(documents: DataFrame, size: int = 4, radius: int = RADIUS) -
     return cluster(materialize(fingerprints(documents, size), "fingerprints"), lambda distinct: near_links(distinct, radius))
 
 
-def similar_documents(documents: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 18) -> DataFrame:
+def similar_documents(documents: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 16) -> DataFrame:
     """``doc_id, fp, component_id``: groups of documents whose word shingles are at least that similar.
 
     SimHash finds the candidates, in buckets by sampled bits of wide fingerprints (``sampled_keys``); shingle sets

@@ -20,20 +20,18 @@ def _over(a: Column, b: Column) -> Column:
 
 def hsv(r: Column, g: Column, b: Column) -> Column:
     """Hue in [0, 360), saturation and value in [0, 1]."""
-    red, green, blue = (_over(f32(c), f32(255)) for c in (r, g, b))
-    top, low = F.greatest(red, green, blue), F.least(red, green, blue)
-    delta = top - low
+    # Comparisons are on whole numbers, and only the red sector can go below 0: the tree stays small, since a filter
+    # evaluates each mention of it anew.
+    unit = lambda c: _over(f32(c), f32(255))
+    top, delta = unit(F.greatest(r, g, b)), unit(F.greatest(r, g, b)) - unit(F.least(r, g, b))
+    from_red = f32(60) * _over(unit(g) - unit(b), delta)
     hue = (
-        F.when(delta == f32(0), f32(0))
-        .when(top == red, f32(60) * _over(green - blue, delta))
-        .when(top == green, f32(60) * (_over(blue - red, delta) + f32(2)))
-        .otherwise(f32(60) * (_over(red - green, delta) + f32(4)))
-    )
-    return F.struct(
-        F.when(hue < f32(0), hue + f32(360)).otherwise(hue).alias("h"),
-        F.when(top == f32(0), f32(0)).otherwise(_over(delta, top)).alias("s"),
-        top.alias("v"),
+        F.when((r == g) & (g == b), f32(0))
+        .when((r >= g) & (r >= b), F.when(g >= b, from_red).otherwise(from_red + f32(360)))
+        .when(g >= b, f32(60) * (_over(unit(b) - unit(r), delta) + f32(2)))
+        .otherwise(f32(60) * (_over(unit(r) - unit(g), delta) + f32(4)))
     )
+    return F.struct(hue.alias("h"), F.when(top == f32(0), f32(0)).otherwise(_over(delta, top)).alias("s"), top.alias("v"))
 
 
 def hue_in_range(h: Column, low: float, high: float) -> Column:
@@ -43,11 +41,11 @@ def hue_in_range(h: Column, low: float, high: float) -> Column:
 
 
 def color_pixel(hue_range: tuple[float, float], min_s: float, min_v: float) -> Predicate:
-    """Opaque enough (alpha at least half) and within the colour range; the cheap test first."""
+    """Opaque enough (alpha at least half) and within the colour range; the cheap tests first."""
 
     def test(r, g, b, a):
         c = hsv(r, g, b)
-        return (a >= 128) & hue_in_range(c["h"], *hue_range) & (c["s"] >= f32(min_s)) & (c["v"] >= f32(min_v))
+        return (a >= 128) & (c["v"] >= f32(min_v)) & (c["s"] >= f32(min_s)) & hue_in_range(c["h"], *hue_range)
 
     return test
 

@@ -22,19 +22,24 @@ def normalize_text(text: Column) -> Column:
 
 def u32(text: Column) -> Column:
     """A 32-bit unsigned number without anything around it, else null."""
-    value = F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("decimal(38,0)"))
-    return F.when(value <= F.lit(U32), value.cast("long"))
+    value = text.try_cast("long")
+    return F.when(text.rlike(r"^\+?0*[0-9]{1,10}$") & (value <= F.lit(U32)), value)
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def tsv_word(line: Column) -> Column:
     """The word of one TSV line (text, x, y, w, h), or null: 12 fields, a word, four numbers."""
-    parts = F.split(line, "\t", -1)
-    text = trimmed(F.get(parts, 11))
-    numbers = [u32(F.get(parts, i)) for i in (6, 7, 8, 9)]
-    ok = (F.size(parts) >= 12) & (text != "")
-    for n in numbers:
-        ok = ok & n.isNotNull()
-    return F.when(ok, F.struct(text.alias("text"), *(n.alias(k) for n, k in zip(numbers, "xywh"))))
+
+    def parse(parts):
+        seen = F.struct(trimmed(F.get(parts, 11)).alias("text"), F.transform(F.slice(parts, 7, 4), u32).alias("box"))
+        word = lambda v: F.struct(v["text"].alias("text"), *(F.get(v["box"], i).alias(n) for i, n in enumerate("xywh")))
+        return _once(seen, lambda v: F.when((F.size(parts) >= 12) & (v["text"] != "") & ~F.exists(v["box"], F.isnull), word(v)))
+
+    return _once(F.split(line, "\t", -1), parse)
 
 
 def tsv_words(tsv: Column) -> Column:

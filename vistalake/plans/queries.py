@@ -180,8 +180,8 @@ def normalize_text(spark, sf_dir):
 
 def ocr_tsv_words(spark, sf_dir):
     """The words of recogniser lines that can be used."""
-    words = rasters.tsv_lines(_table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", text.tsv_word(F.col("line")).alias("word")).where("word IS NOT NULL")
-    return words.select("l_orderkey", "l_linenumber", "word.text", "word.x", "word.y", "word.w", "word.h")
+    words = rasters.tsv_lines(_table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", F.inline(F.array_compact(F.array(text.tsv_word(F.col("line"))))))
+    return words
 
 
 def text_width(spark, sf_dir):

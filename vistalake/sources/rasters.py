@@ -25,6 +25,14 @@ def _places(rows: DataFrame, width: Column | int, height: int) -> DataFrame:
     return cells.withColumn("x", (F.col("i") % F.col("width")).cast("int")).withColumn("y", F.floor(F.col("i") / F.col("width")).cast("int")).drop("i")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows dealt by frame before they grow to pixels: later groupings by frame then need no exchange.
+
+    A fixed number of partitions, since by their size now they would be merged into one.
+    """
+    return rows.repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def _drawn(cells: DataFrame, keys: list[str], r: Column, g: Column, b: Column) -> DataFrame:
     """The pixel columns as a generator's output: predicates then read them instead of drawing them again."""
     pixel = F.struct("x", "y", r.alias("r"), g.alias("g"), b.alias("b"), F.lit(255).alias("a"), "width", "height")
@@ -34,7 +42,7 @@ def _drawn(cells: DataFrame, keys: list[str], r: Column, g: Column, b: Column) -
 def gauges(supplier: DataFrame) -> DataFrame:
     """Pixels of one gauge frame for each supplier."""
     base = supplier.select(F.col("s_suppkey").alias("frame_id"), fill_px(F.col("s_suppkey"), F.col("s_acctbal")).alias("fill_px"))
-    cells = _places(base, GAUGE_WIDTH, GAUGE_HEIGHT)
+    cells = _places(_dealt(base, "frame_id"), GAUGE_WIDTH, GAUGE_HEIGHT)
     on_track = F.col("x").between(TRACK_X, TRACK_X + TRACK_W - 1) & F.col("y").between(TRACK_Y, TRACK_Y + TRACK_H - 1)
     groove = lambda c: F.when(F.col("frame_id") % 3 == 0, GROOVES[0][c]).when(F.col("frame_id") % 3 == 1, GROOVES[1][c]).otherwise(GROOVES[2][c])
     shade = lambda c: F.when(~on_track, BACKGROUND[c]).when(F.col("x") < TRACK_X + F.col("fill_px"), FILL[c]).otherwise(groove(c)).cast("int")
@@ -48,6 +56,7 @@ def step_of(suppkey: Column) -> Column:
 def motion_sequences(supplier: DataFrame) -> DataFrame:
     """Pixels of six frames for each supplier: a bright square that moves; some streams change size once."""
     t = supplier.select(F.col("s_suppkey").alias("stream_id"), step_of(F.col("s_suppkey")).alias("step"), F.explode(F.sequence(F.lit(0), F.lit(MOTION_FRAMES - 1))).alias("frame_no"))
+    t = _dealt(t, "stream_id")
     width = F.when((F.col("stream_id") % 11 == 5) & (F.col("frame_no") == 3), MOTION_WIDTH - 1).otherwise(MOTION_WIDTH)
     cells = _places(t, width, MOTION_HEIGHT)
     left = 4 + F.col("frame_no") * F.col("step")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import fresh_name, lean_worker, table
+from vistalake.llm.common import bound_batches, fresh_name, lean_worker, table
 
 SIZE, SIMILARITY, RADIUS = 5, 0.8, 19
 BLOCK_BYTES = 16 << 20
@@ -231,6 +231,7 @@ def _item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """A row for each document and benchmark item that it contains, with the best window. No shuffle."""
+    bound_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def one_pass(items) -> DataFrame:
@@ -257,6 +258,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The documents that contain no item, columns unchanged: a filter in place, without a join or shuffle."""
 
+    bound_batches(documents.sparkSession)
+
     def test(items):
         carrier = documents.sparkSession.sparkContext.broadcast(items)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import crc_bucket, fresh_name, lean_worker, table
+from vistalake.llm.common import bound_batches, crc_bucket, fresh_name, lean_worker, table
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3, 4)
@@ -194,6 +194,7 @@ def train(documents: DataFrame, modulus: int = 4, held: int = 2, landmarks: int
 
 def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of every document: one narrow pass over the texts."""
+    bound_batches(documents.sparkSession)
     carrier = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -206,6 +207,7 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
 
 def reject(documents: DataFrame, model: Model | None, floor: float = 0.0) -> DataFrame:
     """The documents with a determined language and a score of at least ``floor``, columns unchanged."""
+    bound_batches(documents.sparkSession)
     carrier = documents.sparkSession.sparkContext.broadcast(model)
     flag = fresh_name(documents.columns, "keep_flag")
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import materialize, table
+from vistalake.llm.common import bound_batches, materialize, table
 
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
@@ -97,6 +97,7 @@ def pieces_of(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int,
 
 def token_pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's pieces."""
+    bound_batches(documents.sparkSession)
     path = path or tokenizer_path()
     names = [c.split(" ")[0] for c in MEMBER.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import table
+from vistalake.llm.common import bound_batches, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MODEL_KINDS = ("secret", "person", "national_id")
@@ -465,6 +465,7 @@ SPAN_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long,
 
 def detect(documents: DataFrame, model: Crf | None = None) -> DataFrame:
     """Counts and spans of every document: one narrow pass over the whole texts, in batches of bounded size."""
+    bound_batches(documents.sparkSession)
     carrier = documents.sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches):

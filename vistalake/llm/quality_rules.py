@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import ASCII_SPACES, table, word_ids
+from vistalake.llm.common import ASCII_SPACES, bound_batches, table, word_ids
 
 SYMBOLS = "#*$%&|<>"
 
@@ -99,6 +99,7 @@ def fail_bits() -> Column:
 
 def ledger(documents: DataFrame) -> DataFrame:
     """``doc_id``, the measurements and ``fail_bits`` of every document: one narrow pass, no shuffle."""
+    bound_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_measure_batches, _SCHEMA).withColumn("fail_bits", fail_bits())
 

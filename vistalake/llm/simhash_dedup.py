@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import fresh_name, lean_worker, materialize, table
+from vistalake.llm.common import bound_batches, fresh_name, lean_worker, materialize, table
 from vistalake.llm.components import connected_components
 
 SEED, RADIUS, PIVOTS = 42, 4, 16
@@ -66,6 +66,7 @@ def fingerprints(documents: DataFrame, size: int = 4, wide: bool = False) -> Dat
 
     A wide fingerprint has three more words, ``w1`` to ``w3``, made of other hashes of the same shingles.
     """
+    bound_batches(documents.sparkSession)
     names = list(WIDE if wide else WIDE[:1])
 
     def run(batches):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import crc_bucket, table
+from vistalake.llm.common import bound_batches, crc_bucket, table
 
 SAMPLE, LONGEST = 6000, 20_000
 BEGINNINGS = tuple(range(3, 11))
@@ -246,6 +246,7 @@ def train(documents: DataFrame, labels: DataFrame, modulus: int = 5, held: int =
 
 def predict(documents: DataFrame, classifier: Classifier | None) -> DataFrame:
     """``doc_id`` and ``score`` of every document: one narrow pass over the texts."""
+    bound_batches(documents.sparkSession)
     carrier = documents.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches):

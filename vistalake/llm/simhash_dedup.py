@@ -26,6 +26,8 @@ from vistalake.llm.common import bound_batches, fresh_name, lean_worker, materia
 from vistalake.llm.components import connected_components
 
 SEED, RADIUS, PIVOTS = 42, 4, 16
+#: The words of a wide fingerprint, and those that the distance of similar texts is taken from.
+WIDE, COMPARED = ("fp", "w1", "w2", "w3"), ("fp", "w3")
 #: Rows of a bucket that are compared in one go; larger buckets are cut into tiles of pairs of chunks.
 BUCKET_ROWS = 6000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None]) & 1).astype(np.float64)
@@ -106,26 +108,29 @@ def key_plan(distinct: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]
     return [[(cuts[i], cuts[i + 1] - cuts[i]) for i in chosen] for chosen in combinations(range(blocks), extra)]
 
 
-WIDE = ("fp", "w1", "w2", "w3")
 
+def sampled_keys(distinct: DataFrame, tables: int = 128, seed: int = 9) -> DataFrame:
+    """``rep``, the compared words and each bucket ``key`` of wide fingerprints.
 
-def sampled_keys(distinct: int, tables: int = 64, seed: int = 9):
-    """Bucket keys of wide fingerprints, for similarities whose distances no short list of exact keys reaches.
-
-    Each key is a sample of four nibbles of the 48 in ``w1`` to ``w3``. Shingle sets with a similarity of 0.8 differ in
-    about 15 % of the bits, so a pair shares a given key with probability 0.85**16 = 0.074 and one of 64 with 0.993.
-    Past four million fingerprints keys have five nibbles and there are twice as many, which keeps buckets short.
+    For similarities whose distances no short list of exact keys reaches. Each key is a sample of four nibbles of the
+    48 in ``w1`` to ``w3``. Shingle sets with a similarity of 0.8 differ in about 15 % of the bits, so a pair shares a
+    given key with probability 0.85**16 = 0.074 and one of 128 with 0.9999. Past four million fingerprints keys have
+    five nibbles and there are twice as many, which keeps buckets short.
     """
-    width = 4 if distinct <= 4_000_000 else 5
+    width = 4 if distinct.count() <= 4_000_000 else 5
     rng = np.random.default_rng(seed)
-    out = []
-    for number in range(tables * (width - 3)):
-        value = F.lit(number << 52).cast("long")
-        for place, nibble in enumerate(sorted(rng.choice(48, size=width, replace=False).tolist())):
-            part = F.shiftrightunsigned(F.col(WIDE[1 + nibble // 16]), 4 * (nibble % 16)).bitwiseAND(F.lit(15).cast("long"))
-            value = value.bitwiseOR(F.shiftleft(part, 4 * place))
-        out.append(value)
-    return F.array(*out)
+    chosen = np.array([sorted(rng.choice(48, size=width, replace=False)) for _ in range(tables * (width - 3))])
+    numbers = np.arange(len(chosen), dtype=np.int64) << 52
+
+    def run(batches):
+        for batch in batches:
+            words = np.stack([batch.column(i).to_numpy().view(np.uint64) for i in (2, 3, 4)], axis=1)
+            nibbles = (words[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4)) & np.uint64(15)).reshape(len(words), 48).astype(np.int64)
+            keys = numbers[None] + (nibbles[:, chosen] << (4 * np.arange(width))).sum(2)
+            again = np.repeat(np.arange(len(words)), len(chosen))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(again)) for i in (0, 1, 4)), pa.array(keys.ravel())], ["rep", *COMPARED, "key"])
+
+    return distinct.select("rep", *WIDE).mapInArrow(run, "rep long, fp long, w3 long, key long")
 
 
 def _keys(fp, plan):
@@ -146,11 +151,13 @@ def pivots(count: int = PIVOTS, seed: int = 5) -> np.ndarray:
 def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, points: np.ndarray | None = None, levels: tuple[int, ...] = ()) -> list[tuple[int, int]]:
     """A forest of the links within ``radius`` among rows of one group; pairs of row numbers.
 
+    ``fps`` has one or more words for each row. A pivot is the same word in all of them.
     With ``levels`` (rising, up to the radius) close pairs are linked before distant ones, so that the forest is one
     of nearly least total distance.
     """
     points = pivots() if points is None else points
-    tables = np.bitwise_count(fps[:, None] ^ points[None, :]).astype(np.int8)
+    fps = fps.reshape(len(fps), -1)
+    tables = np.bitwise_count(fps[:, None] ^ points[None, :, None]).sum(2, dtype=np.int16)
     order = np.lexsort((tables[:, 0], groups))
     g, f, t = groups[order], fps[order], tables[order]
     n = len(order)
@@ -167,7 +174,7 @@ def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, poin
             a = active[root[active] != root[active + d]]
             for c in range(1, t.shape[1], 5):
                 a = a[(np.abs(t[a, c : c + 5] - t[a + d, c : c + 5]) <= limit).all(1)]
-            a = a[np.bitwise_count(f[a] ^ f[a + d]) <= limit]
+            a = a[np.bitwise_count(f[a] ^ f[a + d]).sum(1, dtype=np.int16) <= limit]
             if not len(a):
                 continue
             for i in a.tolist():
@@ -188,24 +195,26 @@ def _find(root: np.ndarray, i: int) -> int:
 
 def _link_batches(radius: int):
     points = pivots()
-    levels = tuple(range(2, radius, 2)) + (radius,) if radius > RADIUS else ()
+    levels = tuple(range(4, radius, 4)) + (radius,) if radius > RADIUS else ()
 
-    def flush(key, tile, fp, rep):
+    def flush(key, tile, rep, *words):
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
         group = np.cumsum(new)
         size = np.bincount(group)[group]
         many = size > 1
         at = np.nonzero(many)[0]
-        found = bucket_links(group[at], fp[at].view(np.uint64), radius, points, levels) if len(at) else []
+        fps = np.stack([w[at].view(np.uint64) for w in words], axis=1)
+        found = bucket_links(group[at], fps, radius, points, levels) if len(at) else []
         u = [rep[at[i]] for i, _ in found]
         v = [rep[at[j]] for _, j in found]
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     def run(batches):
         lean_worker()
-        held = [np.zeros(0, np.int64)] * 4
+        held: list[np.ndarray] = []
         for batch in batches:
+            held = held or [np.zeros(0, np.int64)] * batch.num_columns
             held = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
             if len(held[0]) >= 50_000:
                 # The last group may go on in the next batch.
@@ -214,30 +223,30 @@ def _link_batches(radius: int):
                 if cut:
                     yield flush(*(h[:cut] for h in held))
                     held = [h[cut:] for h in held]
-        if len(held[0]):
+        if held and len(held[0]):
             yield flush(*held)
 
     return run
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, keys=None) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = RADIUS, keyed: DataFrame | None = None, words: tuple[str, ...] = WIDE[:1]) -> DataFrame:
     """Links ``u, v`` between representatives, enough to connect all fingerprints within ``radius``.
 
-    ``distinct`` has one row (``fp``, ``rep``) for each fingerprint. Only narrow rows are shuffled, once per key of
+    ``distinct`` has one row (``words``, ``rep``) for each fingerprint; the distance is that of all the words. Only narrow rows are shuffled, once per key of
     the plan; a bucket over ``BUCKET_ROWS`` is spread over tiles, each a pair of its chunks, as tasks of their own.
-    ``keys`` is an array column of bucket keys to take instead of the plan's.
+    ``keyed``, rows with a ``key`` for each bucket, takes the place of the plan's.
     """
-    keys = _keys(F.col("fp"), key_plan(distinct.count(), radius)) if keys is None else keys
-    keyed = distinct.select("fp", "rep", F.explode(keys).alias("key"))
+    if keyed is None:
+        keyed = distinct.select("rep", *words, F.explode(_keys(F.col("fp"), key_plan(distinct.count(), radius))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     chunks = F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(3), "fp"), F.col("chunks")).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit(3), *words), F.col("chunks")).cast("int")
     tiled = (
         keyed.join(sizes, "key")
         .withColumn("chunks", chunks)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).cast("long").alias("tile"), "fp", "rep")
+        .select("key", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).cast("long").alias("tile"), "rep", *words)
     )
     return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_link_batches(radius), "u long, v long")
 
@@ -282,15 +291,15 @@ def near_duplicates(documents: DataFrame, size: int = 4, radius: int = RADIUS) -
     return cluster(materialize(fingerprints(documents, size), "fingerprints"), lambda distinct: near_links(distinct, radius))
 
 
-def similar_documents(documents: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 16) -> DataFrame:
+def similar_documents(documents: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 34) -> DataFrame:
     """``doc_id, fp, component_id``: groups of documents whose word shingles are at least that similar.
 
     SimHash finds the candidates, in buckets by sampled bits of wide fingerprints (``sampled_keys``); shingle sets
-    with a similarity of 0.8 are about 10 bits apart in the first word. Each bucket proposes its nearest pairs, and
-    the exact similarity of the two whole texts decides. Documents with equal fingerprints are taken as copies.
+    with a similarity of 0.8 are about 19 of 128 bits apart, give or take 4, and unrelated ones 64, give or take 6.
+    Each bucket proposes its nearest pairs, and the exact similarity of the two whole texts decides. Documents with equal fingerprints are taken as copies.
     """
     prints = materialize(fingerprints(documents, size, wide=True), "fingerprints")
-    return cluster(prints, lambda distinct: verified_links(documents, near_links(distinct, radius, sampled_keys(distinct.count())), size, similarity))
+    return cluster(prints, lambda distinct: verified_links(documents, near_links(distinct, radius, sampled_keys(distinct), COMPARED), size, similarity))
 
 
 def keep_representatives(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

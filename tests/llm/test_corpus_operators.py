@@ -115,6 +115,22 @@ def test_bucket_links_connect_like_all_pairs():
     assert groups(200, simhash_dedup.bucket_links(group, fps, 4, levels=(2, 4))) == want
 
 
+def test_several_forests_survive_refused_links():
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2**64, (1, 2), dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (80, 2)).astype(np.uint64))
+    for row in fps:  # about 24 bits apart: over the distance that is surely similar
+        row ^= np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 10).astype(np.uint64))
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2)
+    links = simhash_dedup.bucket_links(np.zeros(80, np.int64), fps, 34, levels=(4, 20, 34), forests=3)
+    assert len(links) == len(set(links)) <= 3 * 79 and all(apart[i, j] <= 34 for i, j in links)
+    want = groups(80, [(i, j) for i in range(80) for j in range(i) if apart[i, j] <= 34])
+    assert groups(80, links) == want
+    # Any one forest's worth of refusals at a document leaves it joined to its neighbours.
+    degree = np.bincount(np.array(links).ravel(), minlength=80)
+    near = (apart <= 34).sum(1) - 1
+    assert all(degree >= np.minimum(near, 3))
+
+
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "BUCKET_ROWS", 7)  # tiles
     rng = random.Random(2)

@@ -28,6 +28,8 @@ from vistalake.llm.components import connected_components
 SEED, RADIUS, PIVOTS = 42, 4, 16
 #: The words of a wide fingerprint, and those that the distance of similar texts is taken from.
 WIDE, COMPARED = ("fp", "w1", "w2", "w3"), ("fp", "w3")
+#: Of their 128 bits, pairs of at most ``CLEAR`` are surely similar; others are proposed by ``FORESTS`` forests.
+CLEAR, FORESTS = 12, 3
 #: Rows of a bucket that are compared in one go; larger buckets are cut into tiles of pairs of chunks.
 BUCKET_ROWS = 6000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None]) & 1).astype(np.float64)
@@ -148,12 +150,13 @@ def pivots(count: int = PIVOTS, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, size=count, dtype=np.uint64)
 
 
-def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, points: np.ndarray | None = None, levels: tuple[int, ...] = ()) -> list[tuple[int, int]]:
+def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, points: np.ndarray | None = None, levels: tuple[int, ...] = (), forests: int = 1) -> list[tuple[int, int]]:
     """A forest of the links within ``radius`` among rows of one group; pairs of row numbers.
 
     ``fps`` has one or more words for each row. A pivot is the same word in all of them.
     With ``levels`` (rising, up to the radius) close pairs are linked before distant ones, so that the forest is one
-    of nearly least total distance.
+    of nearly least total distance. With several ``forests`` a pair farther apart than ``CLEAR`` is only left out if
+    that many paths without a common link already join it: a link that a later check refuses then cuts nothing off.
     """
     points = pivots() if points is None else points
     fps = fps.reshape(len(fps), -1)
@@ -161,7 +164,7 @@ def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, poin
     order = np.lexsort((tables[:, 0], groups))
     g, f, t = groups[order], fps[order], tables[order]
     n = len(order)
-    root = np.arange(n)
+    roots = [np.arange(n) for _ in range(forests)]
     links: list[tuple[int, int]] = []
     for limit in levels or (radius,):
         active = np.arange(n - 1)
@@ -171,19 +174,27 @@ def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, poin
             active = active[(g[active] == g[active + d]) & (t[active + d, 0] - t[active, 0] <= limit)]
             if not len(active):
                 break
-            a = active[root[active] != root[active + d]]
+            a = active[roots[-1][active] != roots[-1][active + d]]
             for c in range(1, t.shape[1], 5):
                 a = a[(np.abs(t[a, c : c + 5] - t[a + d, c : c + 5]) <= limit).all(1)]
             a = a[np.bitwise_count(f[a] ^ f[a + d]).sum(1, dtype=np.int16) <= limit]
             if not len(a):
                 continue
             for i in a.tolist():
-                x, y = _find(root, i), _find(root, i + d)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
+                new = False
+                for root in roots:
+                    x, y = _find(root, i), _find(root, i + d)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        new = True
+                        if limit > CLEAR:
+                            break
+                if new:
                     links.append((int(order[i]), int(order[i + d])))
-            while not (root[root] == root).all():
-                root = root[root]
+            for k, root in enumerate(roots):
+                while not (root[root] == root).all():
+                    root = root[root]
+                roots[k] = root
     return links
 
 
@@ -205,7 +216,7 @@ def _link_batches(radius: int):
         many = size > 1
         at = np.nonzero(many)[0]
         fps = np.stack([w[at].view(np.uint64) for w in words], axis=1)
-        found = bucket_links(group[at], fps, radius, points, levels) if len(at) else []
+        found = bucket_links(group[at], fps, radius, points, levels, FORESTS if levels else 1) if len(at) else []
         u = [rep[at[i]] for i, _ in found]
         v = [rep[at[j]] for _, j in found]
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])

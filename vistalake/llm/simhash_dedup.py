@@ -30,6 +30,8 @@ SEED, RADIUS, PIVOTS = 42, 4, 16
 WIDE, COMPARED = ("fp", "w1", "w2", "w3"), ("fp", "w3")
 #: Of their 128 bits, pairs of at most ``CLEAR`` are surely similar; others are proposed by ``FORESTS`` forests.
 CLEAR, FORESTS = 12, 3
+#: Tables whose links are verified first.
+EARLY = 16
 #: Rows of a bucket that are compared in one go; larger buckets are cut into tiles of pairs of chunks.
 BUCKET_ROWS = 6000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None]) & 1).astype(np.float64)
@@ -111,8 +113,10 @@ def key_plan(distinct: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]
 
 
 
-def sampled_keys(distinct: DataFrame, tables: int = 128, seed: int = 9) -> DataFrame:
-    """``rep``, the compared words and each bucket ``key`` of wide fingerprints.
+def sampled_keys(distinct: DataFrame, take: slice, tables: int = 128, seed: int = 9) -> DataFrame:
+    """``rep``, the compared words and each bucket ``key`` of wide fingerprints, of the tables in ``take``.
+
+    A column ``part`` goes along if there is one.
 
     For similarities whose distances no short list of exact keys reaches. Each key is a sample of four nibbles of the
     48 in ``w1`` to ``w3``. Shingle sets with a similarity of 0.8 differ in about 15 % of the bits, so a pair shares a
@@ -122,17 +126,20 @@ def sampled_keys(distinct: DataFrame, tables: int = 128, seed: int = 9) -> DataF
     width = 4 if distinct.count() <= 4_000_000 else 5
     rng = np.random.default_rng(seed)
     chosen = np.array([sorted(rng.choice(48, size=width, replace=False)) for _ in range(tables * (width - 3))])
-    numbers = np.arange(len(chosen), dtype=np.int64) << 52
+    numbers = np.arange(len(chosen), dtype=np.int64)[take] << 52
+    chosen = chosen[take]
+    along = ["rep", *(["part"] if "part" in distinct.columns else [])]
 
     def run(batches):
         for batch in batches:
-            words = np.stack([batch.column(i).to_numpy().view(np.uint64) for i in (2, 3, 4)], axis=1)
+            words = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in WIDE[1:]], axis=1)
             nibbles = (words[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4)) & np.uint64(15)).reshape(len(words), 48).astype(np.int64)
             keys = numbers[None] + (nibbles[:, chosen] << (4 * np.arange(width))).sum(2)
             again = np.repeat(np.arange(len(words)), len(chosen))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(again)) for i in (0, 1, 4)), pa.array(keys.ravel())], ["rep", *COMPARED, "key"])
+            kept = [*along, *COMPARED]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(again)) for c in kept), pa.array(keys.ravel())], [*kept, "key"])
 
-    return distinct.select("rep", *WIDE).mapInArrow(run, "rep long, fp long, w3 long, key long")
+    return distinct.select(*along, *WIDE).mapInArrow(run, ", ".join(f"{c} long" for c in (*along, *COMPARED, "key")))
 
 
 def _keys(fp, plan):
@@ -150,13 +157,14 @@ def pivots(count: int = PIVOTS, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, size=count, dtype=np.uint64)
 
 
-def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, points: np.ndarray | None = None, levels: tuple[int, ...] = (), forests: int = 1) -> list[tuple[int, int]]:
+def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, points: np.ndarray | None = None, levels: tuple[int, ...] = (), forests: int = 1, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A forest of the links within ``radius`` among rows of one group; pairs of row numbers.
 
     ``fps`` has one or more words for each row. A pivot is the same word in all of them.
     With ``levels`` (rising, up to the radius) close pairs are linked before distant ones, so that the forest is one
     of nearly least total distance. With several ``forests`` a pair farther apart than ``CLEAR`` is only left out if
     that many paths without a common link already join it: a link that a later check refuses then cuts nothing off.
+    Rows of equal ``parts`` are joined from the start.
     """
     points = pivots() if points is None else points
     fps = fps.reshape(len(fps), -1)
@@ -164,7 +172,12 @@ def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, poin
     order = np.lexsort((tables[:, 0], groups))
     g, f, t = groups[order], fps[order], tables[order]
     n = len(order)
-    roots = [np.arange(n) for _ in range(forests)]
+    root = np.arange(n)
+    if parts is not None and n:
+        _, first, same = np.unique(np.stack([g, parts[order]]), axis=1, return_index=True, return_inverse=True)
+        root = first[same.ravel()]
+    roots = [root.copy() for _ in range(forests)]
+    below = -1
     links: list[tuple[int, int]] = []
     for limit in levels or (radius,):
         active = np.arange(n - 1)
@@ -177,7 +190,8 @@ def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, poin
             a = active[roots[-1][active] != roots[-1][active + d]]
             for c in range(1, t.shape[1], 5):
                 a = a[(np.abs(t[a, c : c + 5] - t[a + d, c : c + 5]) <= limit).all(1)]
-            a = a[np.bitwise_count(f[a] ^ f[a + d]).sum(1, dtype=np.int16) <= limit]
+            apart = np.bitwise_count(f[a] ^ f[a + d]).sum(1, dtype=np.int16)
+            a = a[(apart <= limit) & (apart > below)]
             if not len(a):
                 continue
             for i in a.tolist():
@@ -195,6 +209,7 @@ def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, poin
                 while not (root[root] == root).all():
                     root = root[root]
                 roots[k] = root
+        below = limit
     return links
 
 
@@ -204,11 +219,13 @@ def _find(root: np.ndarray, i: int) -> int:
     return i
 
 
-def _link_batches(radius: int):
+def _link_batches(radius: int, parted: bool):
     points = pivots()
     levels = tuple(range(4, radius, 4)) + (radius,) if radius > RADIUS else ()
 
     def flush(key, tile, rep, *words):
+        if parted:
+            part, *words = words
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
         group = np.cumsum(new)
@@ -216,7 +233,8 @@ def _link_batches(radius: int):
         many = size > 1
         at = np.nonzero(many)[0]
         fps = np.stack([w[at].view(np.uint64) for w in words], axis=1)
-        found = bucket_links(group[at], fps, radius, points, levels, FORESTS if levels else 1) if len(at) else []
+        forests = FORESTS if parted else 1
+        found = bucket_links(group[at], fps, radius, points, levels, forests, part[at] if parted else None) if len(at) else []
         u = [rep[at[i]] for i, _ in found]
         v = [rep[at[j]] for _, j in found]
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -245,13 +263,15 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, keyed: DataFrame | Non
 
     ``distinct`` has one row (``words``, ``rep``) for each fingerprint; the distance is that of all the words. Only narrow rows are shuffled, once per key of
     the plan; a bucket over ``BUCKET_ROWS`` is spread over tiles, each a pair of its chunks, as tasks of their own.
-    ``keyed``, rows with a ``key`` for each bucket, takes the place of the plan's.
+    ``keyed``, rows with a ``key`` for each bucket, takes the place of the plan's; rows whose ``part`` there is equal
+    are known to belong together, and what is left is proposed by several forests.
     """
+    words = ("part", *words) if keyed is not None and "part" in keyed.columns else words
     if keyed is None:
         keyed = distinct.select("rep", *words, F.explode(_keys(F.col("fp"), key_plan(distinct.count(), radius))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     chunks = F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(3), *words), F.col("chunks")).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit(3), words[-1]), F.col("chunks")).cast("int")
     tiled = (
         keyed.join(sizes, "key")
         .withColumn("chunks", chunks)
@@ -259,7 +279,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, keyed: DataFrame | Non
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("key", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).cast("long").alias("tile"), "rep", *words)
     )
-    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_link_batches(radius), "u long, v long")
+    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_link_batches(radius, "part" in words), "u long, v long")
 
 
 def cluster(prints: DataFrame, links) -> DataFrame:
@@ -307,10 +327,24 @@ def similar_documents(documents: DataFrame, size: int = 5, similarity: float = 0
 
     SimHash finds the candidates, in buckets by sampled bits of wide fingerprints (``sampled_keys``); shingle sets
     with a similarity of 0.8 are about 19 of 128 bits apart, give or take 4, and unrelated ones 64, give or take 6.
-    Each bucket proposes its nearest pairs, and the exact similarity of the two whole texts decides. Documents with equal fingerprints are taken as copies.
+    Each bucket proposes its nearest pairs, and the exact similarity of the two whole texts decides. The first tables
+    join most of what belongs together; the others then only propose pairs that would join more.
+    Documents with equal fingerprints are taken as copies.
     """
     prints = materialize(fingerprints(documents, size, wide=True), "fingerprints")
-    return cluster(prints, lambda distinct: verified_links(documents, near_links(distinct, radius, sampled_keys(distinct), COMPARED), size, similarity))
+
+    def links(distinct: DataFrame) -> DataFrame:
+        def some(rows: DataFrame, take: slice) -> DataFrame:
+            pairs = near_links(rows, radius, sampled_keys(rows, take), COMPARED)
+            return materialize(verified_links(documents, pairs, size, similarity), "similar")
+
+        early = some(distinct, slice(0, EARLY))
+        parts = connected_components(early)
+        parted = distinct.join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
+        parted = materialize(parted.drop("node", "component"), "parts")
+        return early.unionByName(some(parted, slice(EARLY, None)))
+
+    return cluster(prints, links)
 
 
 def keep_representatives(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

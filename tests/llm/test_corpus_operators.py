@@ -165,6 +165,41 @@ def test_similar_documents_by_exact_similarity(spark):
     assert sum(found[i] == want[i] for i in range(len(rows))) >= 0.98 * len(rows)
 
 
+def brute_similar(texts, size=5, similarity=0.8):
+    """Components of all pairs of texts by the similarity of their sets of shingles; equal sets belong together."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    return groups(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) > 0])
+
+
+def template_pages(rng, pairs, words=300, own=40, other=12):
+    """Pages of one template: any two are similar by about 0.75, the two of a pair by more than 0.8."""
+    template, out = prose(rng, words).split(), []
+    for _ in range(pairs):
+        mine = prose(rng, own).split()
+        for _ in range(2):
+            out.append(" ".join([*template, *mine[: own - other], *prose(rng, other).split()]))
+    return out
+
+
+def similar_components(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(docs).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_template_pages_keep_their_partners(spark, monkeypatch):
+    texts = template_pages(random.Random(11), 60)
+    want = brute_similar(texts)
+    assert want == [i - i % 2 for i in range(120)]  # cross pairs stay below
+    assert similar_components(spark, texts) == want
+    monkeypatch.setattr(simhash_dedup, "BUCKET_ROWS", 7)  # tiles
+    monkeypatch.setattr(simhash_dedup, "REACH", (1, 3))  # several rounds
+    assert similar_components(spark, texts) == want
+
+
 def test_simhash_edge_cases(edge, none, clash):
     rows = simhash_dedup.near_duplicates(edge).collect()
     assert len(rows) == edge.count() and {r.component_id for r in rows if r.doc_id in (1, 2, 6)} == {1} and {r.component_id for r in rows if r.doc_id in (3, 4)} == {3}

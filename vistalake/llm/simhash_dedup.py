@@ -28,10 +28,12 @@ from vistalake.llm.components import connected_components
 SEED, RADIUS, PIVOTS = 42, 4, 16
 #: The words of a wide fingerprint, and those that the distance of similar texts is taken from.
 WIDE, COMPARED = ("fp", "w1", "w2", "w3"), ("fp", "w3")
-#: Of their 128 bits, pairs of at most ``CLEAR`` are surely similar; others are proposed by ``FORESTS`` forests.
-CLEAR, FORESTS = 12, 3
-#: Tables whose links are verified first.
-EARLY = 16
+#: Of their 128 bits, pairs of at most ``CLEAR`` are surely similar.
+CLEAR = 12
+#: How far apart, in a bucket's order, the pairs of each round of the exact search are at most; then all others.
+REACH = (4, 64, 1024)
+#: Documents that tell which shingles are common, and the most of these that are remembered.
+SAMPLED, COMMON = 10_000, 500_000
 #: Rows of a bucket that are compared in one go; larger buckets are cut into tiles of pairs of chunks.
 BUCKET_ROWS = 6000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None]) & 1).astype(np.float64)
@@ -67,26 +69,79 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return majority(shingle_hashes(text, size))
 
 
-def fingerprints(documents: DataFrame, size: int = 4, wide: bool = False) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every document.
+def fingerprints(documents: DataFrame, size: int = 4) -> DataFrame:
+    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every document."""
+    bound_batches(documents.sparkSession)
+
+    def run(batches):
+        lean_worker()
+        for batch in batches:
+            found = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+
+    return _texts(documents).mapInArrow(run, "doc_id long, fp long")
 
-    A wide fingerprint has three more words, ``w1`` to ``w3``, made of other hashes of the same shingles.
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def common_shingles(documents: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ``SAMPLED`` documents have, rising, and how many have each."""
+    every = max(1, documents.count() // SAMPLED)
+
+    def run(batches):
+        lean_worker()
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, size)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["shingle"])
+
+    some = _texts(documents).where(F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(every)) == 0).mapInArrow(run, "shingle long")
+    counts = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    found = counts.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    return found[order], counts.column("n").to_numpy()[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of the distinct ``shingles``, uncommon ones before common ones and then by number.
+
+    Two sets have a common prefix shingle if their Jaccard similarity is at least ``similarity``: all of the order
+    before their first shared one is not shared, so it is among the ``n - similarity * n`` that may differ or next.
+    """
+    known, counts = common
+    often = np.zeros(len(shingles), dtype=np.int64)
+    if len(known) and len(shingles):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        often = np.where(known[at] == shingles, counts[at], 0)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, often))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def wide_fingerprints(documents: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``doc_id``, the words of ``WIDE``, the number ``n`` of distinct shingles and their ``prefix``.
+
+    The words ``w1`` to ``w3`` are made of other hashes of the same shingles.
     """
     bound_batches(documents.sparkSession)
-    names = list(WIDE if wide else WIDE[:1])
+    carrier = documents.sparkSession.sparkContext.broadcast(common_shingles(documents, size))
 
     def run(batches):
         lean_worker()
         for batch in batches:
-            found = np.zeros((batch.num_rows, len(names)), dtype=np.uint64)
+            found = np.zeros((batch.num_rows, len(WIDE)), dtype=np.uint64)
+            sizes, prefixes = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 hashes = shingle_hashes(t, size)
-                for k in range(len(names)):
+                distinct = np.unique(hashes)
+                for k in range(len(WIDE)):
                     found[i, k] = majority(hashes if k == 0 else mixed(hashes, k))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k].copy().view(np.int64)) for k in range(len(names)))], ["doc_id", *names])
+                sizes.append(len(distinct))
+                prefixes.append(prefix(distinct, carrier.value, similarity).view(np.int64))
+            words = [pa.array(found[:, k].copy().view(np.int64)) for k in range(len(WIDE))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *words, pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", *WIDE, "n", "prefix"])
 
-    schema = ", ".join(f"{n} long" for n in ("doc_id", *names))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return _texts(documents).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *WIDE, "n")) + ", prefix array<long>")
 
 
 def mixed(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -112,23 +167,18 @@ def key_plan(distinct: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]
     return [[(cuts[i], cuts[i + 1] - cuts[i]) for i in chosen] for chosen in combinations(range(blocks), extra)]
 
 
-
-def sampled_keys(distinct: DataFrame, take: slice, tables: int = 128, seed: int = 9) -> DataFrame:
-    """``rep``, the compared words and each bucket ``key`` of wide fingerprints, of the tables in ``take``.
-
-    A column ``part`` goes along if there is one.
+def sampled_keys(distinct: DataFrame, tables: int = 16, seed: int = 9) -> DataFrame:
+    """``rep``, the compared words and each bucket ``key`` of wide fingerprints.
 
     For similarities whose distances no short list of exact keys reaches. Each key is a sample of four nibbles of the
     48 in ``w1`` to ``w3``. Shingle sets with a similarity of 0.8 differ in about 15 % of the bits, so a pair shares a
-    given key with probability 0.85**16 = 0.074 and one of 128 with 0.9999. Past four million fingerprints keys have
-    five nibbles and there are twice as many, which keeps buckets short.
+    given key with probability 0.85**16 = 0.074. Past four million fingerprints keys have five nibbles and there are
+    twice as many, which keeps buckets short.
     """
     width = 4 if distinct.count() <= 4_000_000 else 5
     rng = np.random.default_rng(seed)
     chosen = np.array([sorted(rng.choice(48, size=width, replace=False)) for _ in range(tables * (width - 3))])
-    numbers = np.arange(len(chosen), dtype=np.int64)[take] << 52
-    chosen = chosen[take]
-    along = ["rep", *(["part"] if "part" in distinct.columns else [])]
+    numbers = np.arange(len(chosen), dtype=np.int64) << 52
 
     def run(batches):
         for batch in batches:
@@ -136,10 +186,10 @@ def sampled_keys(distinct: DataFrame, take: slice, tables: int = 128, seed: int
             nibbles = (words[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4)) & np.uint64(15)).reshape(len(words), 48).astype(np.int64)
             keys = numbers[None] + (nibbles[:, chosen] << (4 * np.arange(width))).sum(2)
             again = np.repeat(np.arange(len(words)), len(chosen))
-            kept = [*along, *COMPARED]
+            kept = ["rep", *COMPARED]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(again)) for c in kept), pa.array(keys.ravel())], [*kept, "key"])
 
-    return distinct.select(*along, *WIDE).mapInArrow(run, ", ".join(f"{c} long" for c in (*along, *COMPARED, "key")))
+    return distinct.select("rep", *WIDE).mapInArrow(run, ", ".join(f"{c} long" for c in ("rep", *COMPARED, "key")))
 
 
 def _keys(fp, plan):
@@ -157,14 +207,13 @@ def pivots(count: int = PIVOTS, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, size=count, dtype=np.uint64)
 
 
-def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, points: np.ndarray | None = None, levels: tuple[int, ...] = (), forests: int = 1, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, points: np.ndarray | None = None, levels: tuple[int, ...] = (), forests: int = 1) -> list[tuple[int, int]]:
     """A forest of the links within ``radius`` among rows of one group; pairs of row numbers.
 
     ``fps`` has one or more words for each row. A pivot is the same word in all of them.
     With ``levels`` (rising, up to the radius) close pairs are linked before distant ones, so that the forest is one
     of nearly least total distance. With several ``forests`` a pair farther apart than ``CLEAR`` is only left out if
     that many paths without a common link already join it: a link that a later check refuses then cuts nothing off.
-    Rows of equal ``parts`` are joined from the start.
     """
     points = pivots() if points is None else points
     fps = fps.reshape(len(fps), -1)
@@ -173,9 +222,6 @@ def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, poin
     g, f, t = groups[order], fps[order], tables[order]
     n = len(order)
     root = np.arange(n)
-    if parts is not None and n:
-        _, first, same = np.unique(np.stack([g, parts[order]]), axis=1, return_index=True, return_inverse=True)
-        root = first[same.ravel()]
     roots = [root.copy() for _ in range(forests)]
     below = -1
     links: list[tuple[int, int]] = []
@@ -219,24 +265,33 @@ def _find(root: np.ndarray, i: int) -> int:
     return i
 
 
-def _link_batches(radius: int, parted: bool):
+def _numbered(key: np.ndarray, tile: np.ndarray) -> np.ndarray:
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
+    return np.cumsum(new)
+
+
+def _link_batches(radius: int):
     points = pivots()
     levels = tuple(range(4, radius, 4)) + (radius,) if radius > RADIUS else ()
 
     def flush(key, tile, rep, *words):
-        if parted:
-            part, *words = words
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
-        group = np.cumsum(new)
+        group = _numbered(key, tile)
         size = np.bincount(group)[group]
         many = size > 1
         at = np.nonzero(many)[0]
         fps = np.stack([w[at].view(np.uint64) for w in words], axis=1)
-        forests = FORESTS if parted else 1
-        found = bucket_links(group[at], fps, radius, points, levels, forests, part[at] if parted else None) if len(at) else []
-        u = [rep[at[i]] for i, _ in found]
-        v = [rep[at[j]] for _, j in found]
+        found = bucket_links(group[at], fps, radius, points, levels) if len(at) else []
+        return [rep[at[i]] for i, _ in found], [rep[at[j]] for _, j in found]
+
+    return _by_bucket(flush)
+
+
+def _by_bucket(flush):
+    """Hands whole buckets (rows sorted by ``key, tile``) to ``flush``, which returns pairs."""
+
+    def pairs(held):
+        u, v = flush(*held)
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     def run(batches):
@@ -250,10 +305,10 @@ def _link_batches(radius: int, parted: bool):
                 last = np.nonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))[0]
                 cut = int(last[-1]) + 1 if len(last) else 0
                 if cut:
-                    yield flush(*(h[:cut] for h in held))
+                    yield pairs([h[:cut] for h in held])
                     held = [h[cut:] for h in held]
         if held and len(held[0]):
-            yield flush(*held)
+            yield pairs(held)
 
     return run
 
@@ -263,23 +318,87 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, keyed: DataFrame | Non
 
     ``distinct`` has one row (``words``, ``rep``) for each fingerprint; the distance is that of all the words. Only narrow rows are shuffled, once per key of
     the plan; a bucket over ``BUCKET_ROWS`` is spread over tiles, each a pair of its chunks, as tasks of their own.
-    ``keyed``, rows with a ``key`` for each bucket, takes the place of the plan's; rows whose ``part`` there is equal
-    are known to belong together, and what is left is proposed by several forests.
+    ``keyed``, rows with a ``key`` for each bucket, takes the place of the plan's.
     """
-    words = ("part", *words) if keyed is not None and "part" in keyed.columns else words
     if keyed is None:
         keyed = distinct.select("rep", *words, F.explode(_keys(F.col("fp"), key_plan(distinct.count(), radius))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    chunks = F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(3), words[-1]), F.col("chunks")).cast("int")
-    tiled = (
-        keyed.join(sizes, "key")
-        .withColumn("chunks", chunks)
-        .withColumn("mine", mine)
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    tiled = _tiled(keyed.join(sizes, "key"), words[-1]).select("key", "tile", "rep", *words)
+    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_link_batches(radius), "u long, v long")
+
+
+def _tiled(keyed: DataFrame, by: str) -> DataFrame:
+    """The rows with a ``tile``: one for a bucket of at most ``BUCKET_ROWS`` rows, else one for each pair of its chunks."""
+    chunks = F.ceil(F.col("rows") / F.lit(BUCKET_ROWS)).cast("int")
+    return (
+        keyed.withColumn("chunks", chunks)
+        .withColumn("mine", F.pmod(F.xxhash64(F.lit(3), by), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).cast("long").alias("tile"), "rep", *words)
+        .withColumn("tile", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).cast("long"))
     )
-    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_link_batches(radius, "part" in words), "u long, v long")
+
+
+def bucket_proposals(group: np.ndarray, part: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float, after: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group and two parts, over ``after`` and at most ``reach`` rows apart, that may be similar.
+
+    The group's shingle has place ``pos`` in the row's ``n``. If it is the first one shared, at most what follows it
+    in either set is shared; a similar pair shares ``similarity / (1 + similarity)`` of both sizes.
+    """
+    left = n - pos
+    share = similarity / (1 + similarity)
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    active = np.arange(len(group))
+    for d in range(after + 1, reach + 1):
+        active = active[active < len(group) - d]
+        active = active[group[active] == group[active + d]]
+        if not len(active):
+            break
+        other = active + d
+        may = (part[active] != part[other]) & (np.minimum(left[active], left[other]) >= share * (n[active] + n[other]) - 1e-6)
+        u.append(active[may])
+        v.append(other[may])
+    return np.concatenate(u), np.concatenate(v)
+
+
+def _proposal_batches(similarity: float, after: int, reach: int):
+    def flush(key, tile, rep, part, n, pos):
+        i, j = bucket_proposals(_numbered(key, tile), part, n, pos, similarity, after, reach)
+        if not len(i):
+            return [], []
+        return np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]), axis=1)
+
+    return _by_bucket(flush)
+
+
+def remaining_links(documents: DataFrame, distinct: DataFrame, found: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``found``, verified links, with enough more to connect all similar pairs of ``distinct``.
+
+    Exact: similar sets share a shingle of their prefixes, so they meet in its bucket. Only a pair that verified links
+    already join is left out; every other one that ``bucket_proposals`` can't exclude is verified itself. The pairs
+    nearest in a bucket's order come first, so that a large group is joined before its many pairs would be proposed.
+    """
+    rows = distinct.select("rep", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("pos", F.col("pos").cast("long"))
+    # The smaller set of a pair has the shared shingle among fewer, which a bucket needs one of.
+    early = F.col("n") - F.col("pos") >= F.lit(2 * similarity / (1 + similarity)) * F.col("n") - 1e-6
+    rows = materialize(rows.withColumn("early", early), "prefixes")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("early").alias("useful")).where("rows > 1 AND useful").drop("useful")
+    keyed = materialize(_tiled(rows.join(sizes, "key"), "rep").select("key", "tile", "rep", "n", "pos"), "buckets")
+    after = 0
+    for reach in (*REACH, 2**31):
+        parts = connected_components(found)
+        parted = keyed.join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
+        parted = materialize(parted.select("key", "tile", "rep", "part", "n", "pos"), "parted")
+        open_tiles = parted.groupBy("key", "tile").agg(F.count(F.lit(1)).alias("rows"), F.min("part").alias("a"), F.max("part").alias("b")).where((F.col("a") != F.col("b")) & (F.col("rows") > after + 1))
+        most = open_tiles.agg(F.max("rows")).first()[0]
+        if most is None:
+            break
+        left = parted.join(open_tiles.select("key", "tile"), ["key", "tile"]).repartition("key", "tile").sortWithinPartitions("key", "tile", "rep", "pos", "n")
+        pairs = left.select("key", "tile", "rep", "part", "n", "pos").mapInArrow(_proposal_batches(similarity, after, reach), "u long, v long")
+        found = found.unionByName(materialize(verified_links(documents, pairs, size, similarity), "similar"))
+        if most <= reach + 1:
+            break
+        after = reach
+    return found
 
 
 def cluster(prints: DataFrame, links) -> DataFrame:
@@ -288,7 +407,8 @@ def cluster(prints: DataFrame, links) -> DataFrame:
     ``links`` makes the links between representatives out of the distinct fingerprints.
     """
     words = [c for c in WIDE if c in prints.columns]
-    distinct = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("rep")), "prints")
+    rest = [c for c in prints.columns if c not in ("doc_id", *words)]
+    distinct = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in rest)), "prints")
     parts = connected_components(links(distinct.where("rep IS NOT NULL")))
     named = distinct.join(parts, F.col("rep") == F.col("node"), "left").select(*words, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, words).select("doc_id", "fp", "component_id")
@@ -325,24 +445,18 @@ def near_duplicates(documents: DataFrame, size: int = 4, radius: int = RADIUS) -
 def similar_documents(documents: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 34) -> DataFrame:
     """``doc_id, fp, component_id``: groups of documents whose word shingles are at least that similar.
 
-    SimHash finds the candidates, in buckets by sampled bits of wide fingerprints (``sampled_keys``); shingle sets
-    with a similarity of 0.8 are about 19 of 128 bits apart, give or take 4, and unrelated ones 64, give or take 6.
-    Each bucket proposes its nearest pairs, and the exact similarity of the two whole texts decides. The first tables
-    join most of what belongs together; the others then only propose pairs that would join more.
+    SimHash joins most of what belongs together, in buckets by sampled bits of wide fingerprints (``sampled_keys``):
+    shingle sets with a similarity of 0.8 are about 19 of 128 bits apart, give or take 4, and unrelated ones 64, give
+    or take 6. Each bucket proposes its nearest pairs, and the exact similarity of the two whole texts decides. What
+    that leaves apart is searched exactly (``remaining_links``), so no similar pair is missed.
     Documents with equal fingerprints are taken as copies.
     """
-    prints = materialize(fingerprints(documents, size, wide=True), "fingerprints")
+    prints = materialize(wide_fingerprints(documents, size, similarity), "fingerprints")
 
     def links(distinct: DataFrame) -> DataFrame:
-        def some(rows: DataFrame, take: slice) -> DataFrame:
-            pairs = near_links(rows, radius, sampled_keys(rows, take), COMPARED)
-            return materialize(verified_links(documents, pairs, size, similarity), "similar")
-
-        early = some(distinct, slice(0, EARLY))
-        parts = connected_components(early)
-        parted = distinct.join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
-        parted = materialize(parted.drop("node", "component"), "parts")
-        return early.unionByName(some(parted, slice(EARLY, None)))
+        pairs = near_links(distinct, radius, sampled_keys(distinct), COMPARED)
+        first = materialize(verified_links(documents, pairs, size, similarity), "similar")
+        return remaining_links(documents, distinct, first, size, similarity)
 
     return cluster(prints, links)
 

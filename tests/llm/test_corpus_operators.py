@@ -200,6 +200,14 @@ def test_template_pages_keep_their_partners(spark, monkeypatch):
     assert similar_components(spark, texts) == want
 
 
+def test_equal_fingerprints_of_different_texts_stay_apart(spark):
+    rng = random.Random(12)
+    texts = [" ".join([prose(rng, 80), *["-"] * 100]) for _ in range(3)]
+    texts += [texts[0].upper(), " ".join(["-", texts[1]])]
+    assert len({simhash_dedup.fingerprint(t, 5) for t in texts[:3]}) == 1
+    assert similar_components(spark, texts) == brute_similar(texts) == [0, 1, 2, 0, 1]
+
+
 def test_simhash_edge_cases(edge, none, clash):
     rows = simhash_dedup.near_duplicates(edge).collect()
     assert len(rows) == edge.count() and {r.component_id for r in rows if r.doc_id in (1, 2, 6)} == {1} and {r.component_id for r in rows if r.doc_id in (3, 4)} == {3}

@@ -26,6 +26,8 @@ from vistalake.llm.common import bound_batches, fresh_name, lean_worker, materia
 from vistalake.llm.components import connected_components
 
 SEED, RADIUS, PIVOTS = 42, 4, 16
+#: What tells sets of shingles apart: two hashes of the sorted set.
+SAME = ("s0", "s1")
 #: The words of a wide fingerprint, and those that the distance of similar texts is taken from.
 WIDE, COMPARED = ("fp", "w1", "w2", "w3"), ("fp", "w3")
 #: Of their 128 bits, pairs of at most ``CLEAR`` are surely similar.
@@ -119,29 +121,32 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
 
 
 def wide_fingerprints(documents: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``doc_id``, the words of ``WIDE``, the number ``n`` of distinct shingles and their ``prefix``.
+    """``doc_id``, the words of ``SAME`` and ``WIDE``, the number ``n`` of distinct shingles and their ``prefix``.
 
     The words ``w1`` to ``w3`` are made of other hashes of the same shingles.
     """
     bound_batches(documents.sparkSession)
     carrier = documents.sparkSession.sparkContext.broadcast(common_shingles(documents, size))
+    names = [*SAME, *WIDE]
 
     def run(batches):
         lean_worker()
         for batch in batches:
-            found = np.zeros((batch.num_rows, len(WIDE)), dtype=np.uint64)
+            found = np.zeros((batch.num_rows, len(names)), dtype=np.uint64)
             sizes, prefixes = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 hashes = shingle_hashes(t, size)
                 distinct = np.unique(hashes)
+                for k in range(len(SAME)):
+                    found[i, k] = xxhash.xxh64_intdigest(distinct.tobytes(), SEED + k)
                 for k in range(len(WIDE)):
-                    found[i, k] = majority(hashes if k == 0 else mixed(hashes, k))
+                    found[i, len(SAME) + k] = majority(hashes if k == 0 else mixed(hashes, k))
                 sizes.append(len(distinct))
                 prefixes.append(prefix(distinct, carrier.value, similarity).view(np.int64))
-            words = [pa.array(found[:, k].copy().view(np.int64)) for k in range(len(WIDE))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *words, pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", *WIDE, "n", "prefix"])
+            words = [pa.array(found[:, k].copy().view(np.int64)) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *words, pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", *names, "n", "prefix"])
 
-    return _texts(documents).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *WIDE, "n")) + ", prefix array<long>")
+    return _texts(documents).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *names, "n")) + ", prefix array<long>")
 
 
 def mixed(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -401,17 +406,16 @@ def remaining_links(documents: DataFrame, distinct: DataFrame, found: DataFrame,
     return found
 
 
-def cluster(prints: DataFrame, links) -> DataFrame:
+def cluster(prints: DataFrame, links, words: tuple[str, ...] = WIDE[:1]) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``prints`` (which is read more than once).
 
-    ``links`` makes the links between representatives out of the distinct fingerprints.
+    Rows of equal ``words``, which the other columns follow from, are one; ``links`` makes the links between these.
     """
-    words = [c for c in WIDE if c in prints.columns]
     rest = [c for c in prints.columns if c not in ("doc_id", *words)]
     distinct = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in rest)), "prints")
     parts = connected_components(links(distinct.where("rep IS NOT NULL")))
     named = distinct.join(parts, F.col("rep") == F.col("node"), "left").select(*words, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, words).select("doc_id", "fp", "component_id")
+    return prints.join(named, list(words)).select("doc_id", "fp", "component_id")
 
 
 #: Ids that may be broadcast to pick the texts of candidate pairs; beyond it the join is shuffled.
@@ -449,7 +453,7 @@ def similar_documents(documents: DataFrame, size: int = 5, similarity: float = 0
     shingle sets with a similarity of 0.8 are about 19 of 128 bits apart, give or take 4, and unrelated ones 64, give
     or take 6. Each bucket proposes its nearest pairs, and the exact similarity of the two whole texts decides. What
     that leaves apart is searched exactly (``remaining_links``), so no similar pair is missed.
-    Documents with equal fingerprints are taken as copies.
+    Only documents with equal sets of shingles (by a hash of 128 bits) are taken as copies; equal fingerprints aren't.
     """
     prints = materialize(wide_fingerprints(documents, size, similarity), "fingerprints")
 
@@ -458,7 +462,7 @@ def similar_documents(documents: DataFrame, size: int = 5, similarity: float = 0
         first = materialize(verified_links(documents, pairs, size, similarity), "similar")
         return remaining_links(documents, distinct, first, size, similarity)
 
-    return cluster(prints, links)
+    return cluster(prints, links, SAME)
 
 
 def keep_representatives(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -208,6 +208,18 @@ def test_equal_fingerprints_of_different_texts_stay_apart(spark):
     assert similar_components(spark, texts) == brute_similar(texts) == [0, 1, 2, 0, 1]
 
 
+def test_repeated_passages_count_once(spark):
+    rng = random.Random(13)
+    texts = []
+    for times in (5, 8, 20, 20):
+        own, passage = prose(rng, 200), prose(rng, 30)
+        texts += [f"{own} {passage}", " ".join([own, *[passage] * times])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = {r.doc_id: np.array([r.fp, r.w3]) for r in simhash_dedup.wide_fingerprints(docs, 5, 0.8).collect()}
+    assert all(np.bitwise_count((words[i] ^ words[i + 1]).view(np.uint64)).sum() <= 34 for i in range(0, len(texts), 2))
+    assert similar_components(spark, texts) == brute_similar(texts) == [0, 0, 2, 2, 4, 4, 6, 6]
+
+
 def test_simhash_edge_cases(edge, none, clash):
     rows = simhash_dedup.near_duplicates(edge).collect()
     assert len(rows) == edge.count() and {r.component_id for r in rows if r.doc_id in (1, 2, 6)} == {1} and {r.component_id for r in rows if r.doc_id in (3, 4)} == {3}

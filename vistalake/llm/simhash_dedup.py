@@ -123,7 +123,8 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
 def wide_fingerprints(documents: DataFrame, size: int, similarity: float) -> DataFrame:
     """``doc_id``, the words of ``SAME`` and ``WIDE``, the number ``n`` of distinct shingles and their ``prefix``.
 
-    The words ``w1`` to ``w3`` are made of other hashes of the same shingles.
+    All words are majorities over distinct shingles, the sets that similarity is taken of; ``fp`` so differs from that
+    of ``fingerprints`` where shingles repeat. ``w1`` to ``w3`` are made of other hashes of the same shingles.
     """
     bound_batches(documents.sparkSession)
     carrier = documents.sparkSession.sparkContext.broadcast(common_shingles(documents, size))
@@ -135,12 +136,11 @@ def wide_fingerprints(documents: DataFrame, size: int, similarity: float) -> Dat
             found = np.zeros((batch.num_rows, len(names)), dtype=np.uint64)
             sizes, prefixes = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                hashes = shingle_hashes(t, size)
-                distinct = np.unique(hashes)
+                distinct = np.unique(shingle_hashes(t, size))
                 for k in range(len(SAME)):
                     found[i, k] = xxhash.xxh64_intdigest(distinct.tobytes(), SEED + k)
                 for k in range(len(WIDE)):
-                    found[i, len(SAME) + k] = majority(hashes if k == 0 else mixed(hashes, k))
+                    found[i, len(SAME) + k] = majority(distinct if k == 0 else mixed(distinct, k))
                 sizes.append(len(distinct))
                 prefixes.append(prefix(distinct, carrier.value, similarity).view(np.int64))
             words = [pa.array(found[:, k].copy().view(np.int64)) for k in range(len(names))]

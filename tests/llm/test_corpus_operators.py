@@ -220,6 +220,13 @@ def test_repeated_passages_count_once(spark):
     assert similar_components(spark, texts) == brute_similar(texts) == [0, 0, 2, 2, 4, 4, 6, 6]
 
 
+def test_sampled_keys_do_not_depend_on_the_size(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, *np.random.default_rng(i).integers(0, 2**62, 4).tolist()) for i in range(5)], "rep long, fp long, w1 long, w2 long, w3 long")
+    few = sorted(map(tuple, simhash_dedup.sampled_keys(rows).collect()))
+    monkeypatch.setattr(type(rows), "count", lambda self: 10_000_000)
+    assert sorted(map(tuple, simhash_dedup.sampled_keys(rows).collect())) == few
+
+
 def test_simhash_edge_cases(edge, none, clash):
     rows = simhash_dedup.near_duplicates(edge).collect()
     assert len(rows) == edge.count() and {r.component_id for r in rows if r.doc_id in (1, 2, 6)} == {1} and {r.component_id for r in rows if r.doc_id in (3, 4)} == {3}

@@ -177,12 +177,11 @@ def sampled_keys(distinct: DataFrame, tables: int = 16, seed: int = 9) -> DataFr
 
     For similarities whose distances no short list of exact keys reaches. Each key is a sample of four nibbles of the
     48 in ``w1`` to ``w3``. Shingle sets with a similarity of 0.8 differ in about 15 % of the bits, so a pair shares a
-    given key with probability 0.85**16 = 0.074. Past four million fingerprints keys have five nibbles and there are
-    twice as many, which keeps buckets short.
+    given key with probability 0.85**16 = 0.074. The keys are the same at every size; long buckets are tiled.
     """
-    width = 4 if distinct.count() <= 4_000_000 else 5
+    width = 4
     rng = np.random.default_rng(seed)
-    chosen = np.array([sorted(rng.choice(48, size=width, replace=False)) for _ in range(tables * (width - 3))])
+    chosen = np.array([sorted(rng.choice(48, size=width, replace=False)) for _ in range(tables)])
     numbers = np.arange(len(chosen), dtype=np.int64) << 52
 
     def run(batches):

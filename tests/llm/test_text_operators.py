@@ -62,6 +62,33 @@ def test_windows_lose_nothing(sample):
     assert pii.Tagger(model, gated=True).tag(texts) == pii.Tagger(model, gated=False).tag(texts)
 
 
+def plain_decoding(line, model):
+    """Spans of one line by Viterbi over all its tokens."""
+    tokens = line.split(" ")
+    own, before, after = zip(*(model.vectors(pii.token_key(w)) for w in tokens))
+    e = [own[j] + (before[j - 1] if j else 0) + (after[j + 1] if j + 1 < len(tokens) else 0) for j in range(len(tokens))]
+    best, back = e[0] + model.first, []
+    for x in e[1:]:
+        through = best[:, None] + model.step
+        back.append(through.argmax(0))
+        best = through.max(0) + x
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    out = []
+    pii.Tagger._spans(path[::-1], 0, tokens, 0, out)
+    return sorted(out)
+
+
+def test_long_windows_are_decoded_whole():
+    model = pii.default_model()
+    # Name lists, shifted so that a cut at any multiple of 256 tokens would fall inside a name.
+    lines = [" ".join([*["the"] * shift, *[w for i in range(400) for w in ("contact:", pii.GIVEN[i % 16], pii.FAMILY[i % 14] + ",")]]) for shift in range(3)]
+    want = [plain_decoding(x, model) for x in lines]
+    assert all(len(x) >= 390 for x in want)
+    assert pii.Tagger(model).tag(lines) == want and pii.Tagger(model, gated=False).tag(lines) == want
+
+
 def test_viterbi_equals_brute_force():
     from itertools import product
 

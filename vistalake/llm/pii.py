@@ -6,7 +6,8 @@
 Viterbi in numpy batches. Tokens are what single spaces and line ends separate, so offsets follow from lengths.
 
 Decoding is confined to windows around tokens with evidence: by the bound in ``_evidence`` every best path's run of
-entity labels holds such a token, so text without one is decoded as all outside without running Viterbi.
+entity labels holds such a token, so text without one is decoded as all outside without running Viterbi. A window is
+decoded whole, however long (seven bytes of back pointers a token).
 
 Defined cases: a null text counts as empty and has no spans; repeated rows get equal results; offsets are code
 points, end exclusive; an empty table gives an empty result; extra columns are ignored.
@@ -330,6 +331,18 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, model: Crf, opened: np.n
     return out
 
 
+def _alike(windows: list[tuple[int, int]], rows: int = 512, tokens: int = 512 * 256):
+    """Runs of windows, sorted by length, of at most ``tokens`` with their padding; a longer one is a run of its own."""
+    some: list[tuple[int, int]] = []
+    for s, e in windows:
+        if some and (len(some) == rows or (len(some) + 1) * (e - s) > tokens):
+            yield some
+            some = []
+        some.append((s, e))
+    if some:
+        yield some
+
+
 class Tagger:
     """Decodes texts; keeps the vectors of the token keys it has seen, within a bound."""
 
@@ -406,11 +419,8 @@ class Tagger:
         return list(zip(lo[first].tolist(), hi[last].tolist()))
 
     def _decode(self, windows, emissions, starts, lines, out) -> None:
-        # Long windows are cut at 256 tokens, which bounds a batch.
-        pieces = [(s, min(s + 256, e)) for a, e in windows for s in range(a, e, 256)]
-        pieces.sort(key=lambda p: p[1] - p[0])
-        for k in range(0, len(pieces), 512):
-            some = pieces[k : k + 512]
+        # Every window is decoded whole; what is padded to the longest of a batch bounds the batch.
+        for some in _alike(sorted(windows, key=lambda p: p[1] - p[0])):
             lengths = np.array([e - s for s, e in some])
             wide = int(lengths.max())
             take = np.minimum(np.array([s for s, _ in some])[:, None] + np.arange(wide)[None], len(emissions) - 1)

@@ -151,6 +151,18 @@ def test_language_held_out_accuracy(sample):
     assert len(rows) > 20 and sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(15)
+    rows = []
+    for k in range(90):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 6))) for _ in range(12)]
+        rows += [(20 * k + i, " ".join(rng.choice(words) for _ in range(40)), f"l{k}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.languages == sorted({x for _, _, x in rows})
+    assert sum(a == b for a, b in zip(language_id.score(model, [t for _, t, _ in rows])[0], [x for _, _, x in rows])) >= 0.95 * len(rows)
+
+
 def test_string_kernel_is_presence_over_norms():
     model = language_id.fit(["abab cd", "xyz xyz"], ["a", "b"], 1)
     features = language_id._profile(model.lookup, len(model.presence), ["abab cd"]) @ model.presence

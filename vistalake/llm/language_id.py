@@ -5,8 +5,8 @@ The kernel of two texts is the blended spectrum of n-gram *presence*: how many d
 training texts, span the feature space; one kernel ridge regressor per language is fitted on it, and documents are
 scored in batches by two matrix products (presence times landmarks, features times regressors).
 
-Fitting uses at most ``LANDMARKS`` and ``SAMPLE`` training texts per language, chosen by a seeded hash; scoring
-reads every whole text. A model is a few MB, whatever the corpus.
+Fitting uses at most ``LANDMARKS`` and ``SAMPLE`` training texts per language, chosen by a seeded hash; over ``FULL``
+languages share the total of that many, and every one is learned. Scoring reads every whole text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; repeated rows get equal results; ties
 between languages go to the first in alphabetic order; no training rows means everything is ``und``; extra columns
@@ -16,11 +16,12 @@ are left alone by ``reject`` and dropped by ``predict``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vistalake.llm.common import bound_batches, crc_bucket, fresh_name, lean_worker, table
@@ -29,6 +30,8 @@ UNDETERMINED = "und"
 ORDERS = (1, 2, 3, 4)
 #: Training texts per language: for the landmarks, and for the regressors. Texts are whole, at most this long.
 LANDMARKS, SAMPLE, LONGEST = 24, 160, 6000
+#: So many languages get those numbers of texts in full; more of them share the same total, at least a text each.
+FULL = 64
 RIDGE = 1e-3
 #: Codes of letters: 0 is any run of other characters, 1 to 26 are a to z, then these, then one for all other letters.
 OTHERS = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœšžßąćęłńśźżěščřžůğıőű"
@@ -114,7 +117,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Mode
     seen = {x: 0 for x in languages}
     marks = []
     for i, label in enumerate(labels):
-        if seen[label] < landmarks:
+        if seen[label] < landmarks and len(marks) < max(FULL * LANDMARKS, landmarks):
             seen[label] += 1
             marks.append(i)
     lookup, rows, per_mark = [], 1, [[] for _ in marks]
@@ -139,9 +142,11 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Mode
     values, vectors = np.linalg.eigh(((among + among.T) / 2).astype(np.float64))
     good = values > 1e-6 * max(values.max(initial=0.0), 1e-12)
     whiten = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
-    features = (_profile(lookup, rows, texts) @ presence @ whiten).astype(np.float64)
+    parts = [_profile(lookup, rows, texts[k : k + 1024]) @ presence @ whiten for k in range(0, len(texts), 1024)]
+    features = np.concatenate(parts).astype(np.float64)
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    balance = np.array([1.0 / labels.count(x) for x in labels])[:, None]
+    count = Counter(labels)
+    balance = np.array([1.0 / count[x] for x in labels])[:, None]
     mean = (features * balance).sum(0) / balance.sum()
     target_mean = (target * balance).sum(0) / balance.sum()
     centred = features - mean
@@ -168,7 +173,8 @@ def score(model: Model | None, texts: list[str | None]) -> tuple[list[str], list
 def train(documents: DataFrame, modulus: int = 4, held: int = 2, landmarks: int = LANDMARKS, sample: int = SAMPLE) -> Model | None:
     """Fits from the rows outside the held-out bucket: at most ``landmarks + sample`` texts per language.
 
-    The texts are those with the smallest seeded hashes; a language needs one text. Languages beyond the first 64 by name would make the sample unbounded and are an error.
+    The texts are those with the smallest seeded hashes; a language needs one text. Over ``FULL`` languages share the
+    texts of that many, so that the sample stays bounded, and each still gets one at least.
     """
     rows = (
         documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -176,19 +182,25 @@ def train(documents: DataFrame, modulus: int = 4, held: int = 2, landmarks: int
         .where(F.length("text").between(1, LONGEST) & F.col("text").rlike(r"\p{L}"))
         .select("lang", F.xxhash64(F.lit(17), "doc_id", "text").alias("order"), "text")
     )
-    limits = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(65).collect()
-    if len(limits) > 64:
-        raise ValueError("more than 64 languages")
+    limits = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
+    if len(limits) > FULL:
+        landmarks, sample = max(1, landmarks * FULL // len(limits)), sample * FULL // len(limits)
     wanted = landmarks + sample
     # The hash is uniform, so a threshold per language keeps a little more than the wanted rows, whatever the corpus.
     bound = {r.lang: min(2**63 - 1, int(-(2**63) + min(1.0, (1.3 * wanted + 64) / r.n) * (2**64 - 1))) for r in limits}
     if not bound:
         return None
-    chosen = F.lit(False)
-    for lang, most in bound.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("order") <= F.lit(most)))
-    found = sorted((r.lang, r.order, r.text) for r in rows.where(chosen).collect())
-    picked = [(lang, text) for lang in bound for _, _, text in [x for x in found if x[0] == lang][:wanted]]
+    most = documents.sparkSession.createDataFrame(list(bound.items()), "lang string, most long")
+    near = rows.join(F.broadcast(most), "lang").where("order <= most")
+    if len(limits) > FULL:  # else what the thresholds let through beyond the wanted would grow with the languages
+        near = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))).where(F.col("place") <= wanted)
+    found = sorted((r.lang, r.order, r.text) for r in near.collect())
+    taken: Counter = Counter()
+    picked = []
+    for lang, _, text in found:
+        if taken[lang] < wanted:
+            taken[lang] += 1
+            picked.append((lang, text))
     return fit([t for _, t in picked], [x for x, _ in picked], landmarks) if picked else None
 
 

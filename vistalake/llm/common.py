@@ -63,6 +63,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_small(rows: DataFrame, most: int) -> DataFrame:
+    """A broadcast of the rows if there are at most ``most``, which is counted; else the rows as they are."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a scratch folder through Hadoop's file system, wherever it lives."""
     jvm = spark.sparkContext._jvm

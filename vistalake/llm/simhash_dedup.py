@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import bound_batches, fresh_name, lean_worker, materialize, table
+from vistalake.llm.common import bound_batches, broadcast_small, fresh_name, lean_worker, materialize, table
 from vistalake.llm.components import connected_components
 
 SEED, RADIUS, PIVOTS = 42, 4, 16
@@ -30,10 +30,8 @@ SEED, RADIUS, PIVOTS = 42, 4, 16
 SAME = ("s0", "s1")
 #: The words of a wide fingerprint, and those that the distance of similar texts is taken from.
 WIDE, COMPARED = ("fp", "w1", "w2", "w3"), ("fp", "w3")
-#: Of their 128 bits, pairs of at most ``CLEAR`` are surely similar.
-CLEAR = 12
-#: How far apart, in a bucket's order, the pairs of each round of the exact search are at most; then all others.
-REACH = (4, 64, 1024)
+#: The most bits of an odd sketch; it has 4 to 8 bits a shingle up to that.
+SKETCH_BITS = 8192
 #: Documents that tell which shingles are common, and the most of these that are remembered.
 SAMPLED, COMMON = 10_000, 500_000
 #: Rows of a bucket that are compared in one go; larger buckets are cut into tiles of pairs of chunks.
@@ -120,8 +118,22 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
     return shingles[np.lexsort((shingles, often))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
 
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """The parity, place by place, of how many of the distinct ``shingles`` hash there; a power of two of bits.
+
+    The sketches of two sets differ in no more places than the sets differ in shingles, and in nearly as many if
+    there are few collisions. Halves of a sketch, combined by exclusive or, make the sketch of half the bits.
+    """
+    bits = min(SKETCH_BITS, max(64, 1 << (4 * len(shingles) - 1).bit_length()))
+    places, counts = np.unique(mixed(shingles, 7) & np.uint64(bits - 1), return_counts=True)
+    odd = places[counts % 2 == 1]
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    np.bitwise_or.at(out, (odd >> np.uint64(6)).astype(np.int64), np.uint64(1) << (odd & np.uint64(63)))
+    return out.tobytes()
+
+
 def wide_fingerprints(documents: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``doc_id``, the words of ``SAME`` and ``WIDE``, the number ``n`` of distinct shingles and their ``prefix``.
+    """``doc_id``, the words of ``SAME`` and ``WIDE``, the number ``n`` of distinct shingles, their ``prefix`` and ``sketch``.
 
     All words are majorities over distinct shingles, the sets that similarity is taken of; ``fp`` so differs from that
     of ``fingerprints`` where shingles repeat. ``w1`` to ``w3`` are made of other hashes of the same shingles.
@@ -134,7 +146,7 @@ def wide_fingerprints(documents: DataFrame, size: int, similarity: float) -> Dat
         lean_worker()
         for batch in batches:
             found = np.zeros((batch.num_rows, len(names)), dtype=np.uint64)
-            sizes, prefixes = [], []
+            sizes, prefixes, sketches = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 distinct = np.unique(shingle_hashes(t, size))
                 for k in range(len(SAME)):
@@ -143,10 +155,11 @@ def wide_fingerprints(documents: DataFrame, size: int, similarity: float) -> Dat
                     found[i, len(SAME) + k] = majority(distinct if k == 0 else mixed(distinct, k))
                 sizes.append(len(distinct))
                 prefixes.append(prefix(distinct, carrier.value, similarity).view(np.int64))
+                sketches.append(odd_sketch(distinct))
             words = [pa.array(found[:, k].copy().view(np.int64)) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *words, pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", *names, "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *words, pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", *names, "n", "prefix", "sketch"])
 
-    return _texts(documents).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *names, "n")) + ", prefix array<long>")
+    return _texts(documents).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *names, "n")) + ", prefix array<long>, sketch binary")
 
 
 def mixed(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -211,13 +224,12 @@ def pivots(count: int = PIVOTS, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, size=count, dtype=np.uint64)
 
 
-def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, points: np.ndarray | None = None, levels: tuple[int, ...] = (), forests: int = 1) -> list[tuple[int, int]]:
+def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, points: np.ndarray | None = None, levels: tuple[int, ...] = ()) -> list[tuple[int, int]]:
     """A forest of the links within ``radius`` among rows of one group; pairs of row numbers.
 
     ``fps`` has one or more words for each row. A pivot is the same word in all of them.
     With ``levels`` (rising, up to the radius) close pairs are linked before distant ones, so that the forest is one
-    of nearly least total distance. With several ``forests`` a pair farther apart than ``CLEAR`` is only left out if
-    that many paths without a common link already join it: a link that a later check refuses then cuts nothing off.
+    of nearly least total distance.
     """
     points = pivots() if points is None else points
     fps = fps.reshape(len(fps), -1)
@@ -226,7 +238,6 @@ def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, poin
     g, f, t = groups[order], fps[order], tables[order]
     n = len(order)
     root = np.arange(n)
-    roots = [root.copy() for _ in range(forests)]
     below = -1
     links: list[tuple[int, int]] = []
     for limit in levels or (radius,):
@@ -237,7 +248,7 @@ def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, poin
             active = active[(g[active] == g[active + d]) & (t[active + d, 0] - t[active, 0] <= limit)]
             if not len(active):
                 break
-            a = active[roots[-1][active] != roots[-1][active + d]]
+            a = active[root[active] != root[active + d]]
             for c in range(1, t.shape[1], 5):
                 a = a[(np.abs(t[a, c : c + 5] - t[a + d, c : c + 5]) <= limit).all(1)]
             apart = np.bitwise_count(f[a] ^ f[a + d]).sum(1, dtype=np.int16)
@@ -245,24 +256,26 @@ def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, poin
             if not len(a):
                 continue
             for i in a.tolist():
-                new = False
-                for root in roots:
-                    x, y = _find(root, i), _find(root, i + d)
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        new = True
-                        if limit > CLEAR:
-                            break
-                if new:
+                if _join(root, i, i + d):
                     links.append((int(order[i]), int(order[i + d])))
-            for k, root in enumerate(roots):
-                while not (root[root] == root).all():
-                    root = root[root]
-                roots[k] = root
+            root = _flat(root)
         below = limit
     return links
 
 
+def _join(root: np.ndarray, i: int, j: int) -> bool:
+    """Joins the trees of ``i`` and ``j``; whether they were two."""
+    x, y = _find(root, i), _find(root, j)
+    root[max(x, y)] = min(x, y)
+    return x != y
+
+
+def _flat(root: np.ndarray) -> np.ndarray:
+    while not (root[root] == root).all():
+        root = root[root]
+    return root
+
+
 def _find(root: np.ndarray, i: int) -> int:
     while root[i] != i:
         i = root[i]
@@ -300,10 +313,10 @@ def _by_bucket(flush):
 
     def run(batches):
         lean_worker()
-        held: list[np.ndarray] = []
+        held: list = []
         for batch in batches:
-            held = held or [np.zeros(0, np.int64)] * batch.num_columns
-            held = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
+            new = [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            held = [h + x if isinstance(x, list) else np.concatenate([h, x]) for h, x in zip(held, new)] if held else new
             if len(held[0]) >= 50_000:
                 # The last group may go on in the next batch.
                 last = np.nonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))[0]
@@ -332,7 +345,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, keyed: DataFrame | Non
 
 
 def _tiled(keyed: DataFrame, by: str) -> DataFrame:
-    """The rows with a ``tile``: one for a bucket of at most ``BUCKET_ROWS`` rows, else one for each pair of its chunks."""
+    """The rows with their chunk (``mine``) and a ``tile``: one for a bucket of at most ``BUCKET_ROWS`` rows, else one for each pair of its chunks."""
     chunks = F.ceil(F.col("rows") / F.lit(BUCKET_ROWS)).cast("int")
     return (
         keyed.withColumn("chunks", chunks)
@@ -342,34 +355,89 @@ def _tiled(keyed: DataFrame, by: str) -> DataFrame:
     )
 
 
-def bucket_proposals(group: np.ndarray, part: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float, after: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group and two parts, over ``after`` and at most ``reach`` rows apart, that may be similar.
+def _folded(sketches: np.ndarray) -> np.ndarray:
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
 
-    The group's shingle has place ``pos`` in the row's ``n``. If it is the first one shared, at most what follows it
-    in either set is shared; a similar pair shares ``similarity / (1 + similarity)`` of both sizes.
-    """
-    left = n - pos
-    share = similarity / (1 + similarity)
-    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    active = np.arange(len(group))
-    for d in range(after + 1, reach + 1):
-        active = active[active < len(group) - d]
-        active = active[group[active] == group[active + d]]
-        if not len(active):
-            break
-        other = active + d
-        may = (part[active] != part[other]) & (np.minimum(left[active], left[other]) >= share * (n[active] + n[other]) - 1e-6)
-        u.append(active[may])
-        v.append(other[may])
-    return np.concatenate(u), np.concatenate(v)
 
+def tile_proposals(mine: np.ndarray, part: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list[bytes], similarity: float, every: bool) -> list[tuple[int, int]]:
+    """Pairs of rows of one tile and two parts that may be similar: a forest of them, nearest first, or ``every`` one.
 
-def _proposal_batches(similarity: float, after: int, reach: int):
-    def flush(key, tile, rep, part, n, pos):
-        i, j = bucket_proposals(_numbered(key, tile), part, n, pos, similarity, after, reach)
-        if not len(i):
-            return [], []
-        return np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]), axis=1)
+    The tile's shingle has place ``pos`` in the row's ``n``. If it is the first one shared, at most what follows it
+    in either set is shared; a similar pair shares ``similarity / (1 + similarity)`` of both sizes and differs in what
+    is left, which is at least the distance of the odd sketches. Both bounds are exact: no similar pair is refused.
+    """
+    order = np.argsort(n, kind="stable")
+    mine, part, n, left = mine[order], np.unique(part[order], return_inverse=True)[1], n[order], (n - pos)[order]
+    across = mine[0] != mine[-1] or len(np.unique(mine)) > 1
+    share, differ = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
+    most = np.searchsorted(n, n / similarity + 1e-6, side="right")
+    width = np.array([len(sketches[i]) // 8 for i in order])
+    root = np.arange(int(part.max()) + 1)
+    out: list[tuple[int, int]] = []
+    for w in np.unique(width).tolist():
+        rows = np.nonzero(width == w)[0]
+        more = np.nonzero(width == 2 * w)[0]
+        table = np.stack([np.frombuffer(sketches[order[i]], dtype=np.uint64) for i in rows])
+        if len(more):
+            table = np.concatenate([table, _folded(np.stack([np.frombuffer(sketches[order[i]], dtype=np.uint64) for i in more]))])
+        # Sketches grow with the sets, so the rows and those of the next width are one stretch.
+        base, end = int(rows[0]), int((more if len(more) else rows)[-1]) + 1
+        for s in range(base, int(rows[-1]) + 1, 64):
+            i = np.arange(s, min(s + 64, int(rows[-1]) + 1))
+            j = np.arange(s + 1, min(int(most[i].max(initial=s + 1)), end))
+            if not len(j):
+                continue
+            may = (i[:, None] < j[None]) & (j[None] < most[i][:, None]) & (root[part[i]][:, None] != root[part[j]][None])
+            may &= np.minimum(left[i][:, None], left[j][None]) >= share * (n[i][:, None] + n[j][None]) - 1e-6
+            if across:  # pairs within a chunk belong to the chunk's own tile
+                may &= mine[i][:, None] != mine[j][None]
+            x, y = np.nonzero(may)
+            x, y = i[x], j[y]
+            for k in range(0, len(x), 8192):
+                a, b = x[k : k + 8192], y[k : k + 8192]
+                if not every:
+                    apart = root[part[a]] != root[part[b]]
+                    a, b = a[apart], b[apart]
+                distance = np.bitwise_count(table[a - base] ^ table[b - base]).sum(1, dtype=np.int64)
+                near = np.nonzero(distance <= differ * (n[a] + n[b]) + 1e-6)[0]
+                for q in near[np.argsort(distance[near], kind="stable")].tolist():
+                    if every or _join(root, int(part[a[q]]), int(part[b[q]])):
+                        out.append((int(order[a[q]]), int(order[b[q]])))
+                root = _flat(root)
+    return out
+
+
+def plausible_links(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` that the distance of their odd sketches doesn't rule out."""
+    differ = (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            near = np.zeros(batch.num_rows, dtype=bool)
+            for i, (a, b) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                a, b = sorted((np.frombuffer(x, dtype=np.uint64)[None] for x in (a, b)), key=lambda x: x.shape[1])
+                while b.shape[1] > a.shape[1]:
+                    b = _folded(b)
+                near[i] = np.bitwise_count(a ^ b).sum(dtype=np.int64) <= differ * (n[i] + m[i]) + 1e-6
+            yield batch.select(["u", "v"]).filter(pa.array(near))
+
+    rows = distinct.select("rep", "n", "sketch")
+    both = pairs.join(rows.toDF("u", "n", "a"), "u").join(rows.toDF("v", "m", "b"), "v")
+    return both.select("u", "v", "n", "m", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _proposal_batches(similarity: float, every: bool):
+    def flush(key, tile, rep, mine, part, n, pos, sketch):
+        group = _numbered(key, tile)
+        cuts = np.nonzero(np.diff(group, prepend=group[0] - 1, append=group[-1] + 1))[0]
+        pairs: set[tuple[int, int]] = set()
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            for i, j in tile_proposals(mine[a:b], part[a:b], n[a:b], pos[a:b], sketch[a:b], similarity, every):
+                u, v = int(rep[a + i]), int(rep[a + j])
+                pairs.add((min(u, v), max(u, v)))
+        return list(zip(*pairs)) or ([], [])
 
     return _by_bucket(flush)
 
@@ -377,34 +445,40 @@ def _proposal_batches(similarity: float, after: int, reach: int):
 def remaining_links(documents: DataFrame, distinct: DataFrame, found: DataFrame, size: int, similarity: float) -> DataFrame:
     """``found``, verified links, with enough more to connect all similar pairs of ``distinct``.
 
-    Exact: similar sets share a shingle of their prefixes, so they meet in its bucket. Only a pair that verified links
-    already join is left out; every other one that ``bucket_proposals`` can't exclude is verified itself. The pairs
-    nearest in a bucket's order come first, so that a large group is joined before its many pairs would be proposed.
+    Exact: similar sets share a shingle of their prefixes, so they meet in its bucket, and neither bound of
+    ``tile_proposals`` refuses them. Buckets whose rows verified links already join are left out. Each of the others
+    proposes a forest. Where the exact similarity refuses some of these links, the second round proposes every pair
+    that is still apart and may be similar: only pairs with a similarity just below the wanted one are in vain.
     """
-    rows = distinct.select("rep", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("pos", F.col("pos").cast("long"))
+    nodes = _parted(distinct.select("rep", "n", "prefix"), found)
+    rows = nodes.select("rep", "n", "part", F.posexplode("prefix").alias("pos", "key")).withColumn("pos", F.col("pos").cast("long"))
     # The smaller set of a pair has the shared shingle among fewer, which a bucket needs one of.
     early = F.col("n") - F.col("pos") >= F.lit(2 * similarity / (1 + similarity)) * F.col("n") - 1e-6
-    rows = materialize(rows.withColumn("early", early), "prefixes")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("early").alias("useful")).where("rows > 1 AND useful").drop("useful")
-    keyed = materialize(_tiled(rows.join(sizes, "key"), "rep").select("key", "tile", "rep", "n", "pos"), "buckets")
-    after = 0
-    for reach in (*REACH, 2**31):
-        parts = connected_components(found)
-        parted = keyed.join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
-        parted = materialize(parted.select("key", "tile", "rep", "part", "n", "pos"), "parted")
-        open_tiles = parted.groupBy("key", "tile").agg(F.count(F.lit(1)).alias("rows"), F.min("part").alias("a"), F.max("part").alias("b")).where((F.col("a") != F.col("b")) & (F.col("rows") > after + 1))
-        most = open_tiles.agg(F.max("rows")).first()[0]
-        if most is None:
-            break
-        left = parted.join(open_tiles.select("key", "tile"), ["key", "tile"]).repartition("key", "tile").sortWithinPartitions("key", "tile", "rep", "pos", "n")
-        pairs = left.select("key", "tile", "rep", "part", "n", "pos").mapInArrow(_proposal_batches(similarity, after, reach), "u long, v long")
-        found = found.unionByName(materialize(verified_links(documents, pairs, size, similarity), "similar"))
-        if most <= reach + 1:
-            break
-        after = reach
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("part").alias("a"), F.max("part").alias("b"), F.max(early).alias("useful"))
+    several = materialize(sizes.where("rows > 1 AND a <> b AND useful").select("key", "rows"), "open-buckets")
+    keyed = materialize(_tiled(rows.join(broadcast_small(several, BROADCAST_KEYS), "key"), "rep").select("key", "tile", "rep", "mine", "part", "n", "pos"), "buckets")
+    sketches = distinct.select("rep", "sketch")
+    for every in (False, True):
+        left = keyed.join(sketches, "rep").select("key", "tile", "rep", "mine", "part", "n", "pos", "sketch")
+        pairs = left.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_proposal_batches(similarity, every), "u long, v long")
+        pairs = materialize(pairs.distinct(), "candidates")
+        similar = materialize(verified_links(documents, pairs, size, similarity), "similar")
+        found = found.unionByName(similar)
+        if every or pairs.count() == similar.count():
+            return found
+        parted = _parted(keyed.drop("part"), found)
+        still = parted.groupBy("key", "tile").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key", "tile")
+        keyed = materialize(parted.join(still, ["key", "tile"]), "buckets")
     return found
 
 
+def _parted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with the ``part`` that verified links join their ``rep`` to, itself if none."""
+    parts = connected_components(links)
+    parted = rows.join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
+    return materialize(parted.select(*rows.columns, "part"), "parted")
+
+
 def cluster(prints: DataFrame, links, words: tuple[str, ...] = WIDE[:1]) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``prints`` (which is read more than once).
 
@@ -417,15 +491,14 @@ def cluster(prints: DataFrame, links, words: tuple[str, ...] = WIDE[:1]) -> Data
     return prints.join(named, list(words)).select("doc_id", "fp", "component_id")
 
 
-#: Ids that may be broadcast to pick the texts of candidate pairs; beyond it the join is shuffled.
-BROADCAST_IDS = 2_000_000
+#: Ids, or keys of buckets, that may be broadcast; beyond it a join is shuffled.
+BROADCAST_IDS, BROADCAST_KEYS = 2_000_000, 1_000_000
 
 
 def verified_links(documents: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs ``u, v`` of ids whose texts' sets of word shingles have at least that Jaccard similarity."""
-    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    """The pairs ``u, v`` of ids (distinct rows, read twice) whose texts' sets of word shingles are at least that similar, by Jaccard."""
     ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "candidate-ids")
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    ids = broadcast_small(ids, BROADCAST_IDS)
 
     def run(batches):
         lean_worker()
@@ -458,6 +531,8 @@ def similar_documents(documents: DataFrame, size: int = 5, similarity: float = 0
 
     def links(distinct: DataFrame) -> DataFrame:
         pairs = near_links(distinct, radius, sampled_keys(distinct), COMPARED)
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = materialize(plausible_links(pairs, distinct, similarity), "candidates")
         first = materialize(verified_links(documents, pairs, size, similarity), "similar")
         return remaining_links(documents, distinct, first, size, similarity)
 

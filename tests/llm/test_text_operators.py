@@ -204,17 +204,89 @@ def test_toxicity_held_out(spark):
     import zlib
 
     truth = {i: y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0}
-    got = {r.doc_id: r.score for r in toxicity.predict(docs, fitted[0]).collect() if r.doc_id in truth}
+    got = {r.doc_id: r.score for r in toxicity.predict(docs, fitted.classifier).collect() if r.doc_id in truth}
     assert sum((got[i] >= 0.5) == bool(y) for i, y in truth.items()) >= 0.93 * len(truth)
-    _, model, voters = fitted
-    assert len(model.accuracies) == voters.count + 1 and model.correlations.shape == (voters.count + 1,) * 2
+    assert fitted.votes.shape[1] == fitted.voters.count == len(fitted.label_model.accuracies)
+
+
+def test_labels_are_no_votes(spark):
+    """Rows whose label contradicts what the voters agree on get the voters' posterior."""
+    rows = synthetic(800, 5)
+    wrong = [i for i, t, y in rows if y == 1 and any(w in t.split() for w in ("idiot", "scum"))][::4]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(10_000 + i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0 if i in wrong else y) for i, _, y in rows], "doc_id long, toxic int")
+    fitted = toxicity.train(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.predict(docs, fitted.classifier).collect()}
+    assert len(wrong) >= 10 and sum(scores[i] >= 0.5 for i in wrong) >= 0.9 * len(wrong)
+    assert len(fitted.posteriors) > 1.5 * len(rows)  # unlabelled rows are learned from, too
+
+
+def votes_of(y, voters, rng):
+    """Votes of independent voters (share spoken of, accuracy) about the hidden classes ``y``."""
+    out = []
+    for spoken, right in voters:
+        says = np.where(rng.random(len(y)) < right, y, 1 - y)
+        out.append(np.where(rng.random(len(y)) < spoken, says, -1))
+    return np.array(out, dtype=np.int8).T
+
+
+def test_label_model_equals_bayes_with_the_true_tables():
+    rng = np.random.default_rng(8)
+    y = (rng.random(6000) < 0.2).astype(int)
+    voters = [(0.6, 0.95), (0.7, 0.9), (0.5, 0.85), (0.8, 0.8), (0.4, 0.9), (0.9, 0.7)]
+    votes = votes_of(y, voters, rng)
+    model = toxicity.fit_label_model(votes, 0.2, 3)
+    odds = np.full(len(y), np.log(0.2 / 0.8))
+    for k, (_, right) in enumerate(voters):
+        odds += np.select([votes[:, k] == 1, votes[:, k] == 0], [1.0, -1.0], 0.0) * np.log(right / (1 - right))
+    best = 1 / (1 + np.exp(-odds))
+    got = model.posterior(votes)
+    assert abs(got.mean() - 0.2) < 0.02 and np.abs(got - best).mean() < 0.06 and ((got > 0.5) == (best > 0.5)).mean() > 0.95
+    assert np.abs(model.accuracies - [right for _, right in voters]).max() < 0.08
+
+
+def test_copies_of_a_voter_count_as_one():
+    rng = np.random.default_rng(9)
+    y = (rng.random(4000) < 0.3).astype(int)
+    votes = votes_of(y, [(1.0, 0.85), (1.0, 0.85), (1.0, 0.85), (1.0, 0.8)], rng)
+    copied = np.concatenate([votes, np.repeat(votes[:, 3:], 6, axis=1)], axis=1)
+    model = toxicity.fit_label_model(copied, 0.3, 3)
+    assert model.correlations[3, 4] > 0.9 and abs(model.correlations[0, 1]) < 0.3
+    assert ((model.posterior(copied) > 0.5) == y).mean() > 0.85
+
+
+def test_classifier_minimises_its_loss():
+    """Against plain gradient descent over a dense table."""
+    rng = np.random.default_rng(10)
+    x = (rng.random((300, 6)) < 0.3).astype(float)
+    target = 1 / (1 + np.exp(-(5 * x[:, 0] + 4 * x[:, 1] - 3)))
+    found = toxicity.fit_classifier([{j: 1 for j in np.nonzero(r)[0].tolist()} for r in x], [f"f{j}" for j in range(6)], target)
+    used = [int(f[1:]) for f in found.weights]
+    assert {0, 1} <= set(used)
+    w, b = np.zeros(len(used)), 0.0
+    for _ in range(20_000):
+        g = (1 / (1 + np.exp(-(x[:, used] @ w + b))) - target) / len(x)
+        w, b = w - 1.0 * (x[:, used].T @ g + 2e-3 / len(used) * w), b - 1.0 * g.sum()
+    assert found.bias == pytest.approx(b, abs=0.1) and [found.weights[f"f{j}"] for j in used] == pytest.approx(w.tolist(), abs=0.15)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = synthetic(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").unionByName(spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("copy "), F.col("id")).alias("text")))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, 0), (1, 1)], "doc_id long, toxic int")
+    found = toxicity.training_rows(docs, labels, 5, 0, 100).collect()
+    assert sum(r.toxic is not None for r in found) <= 100 and sum(r.toxic is None for r in found) <= 100 and len(found) > 150
 
 
 def test_toxicity_edge_cases(spark, edge, none, clash):
-    fitted = toxicity.fit([t for _, t, _ in synthetic(200)], [y for _, _, y in synthetic(200)])
-    rows = toxicity.predict(edge, fitted[0]).collect()
-    assert len(rows) == edge.count() and all(0 <= r.score <= 1 for r in rows) and toxicity.predict(none, fitted[0]).count() == 0
-    assert toxicity.predict(clash, fitted[0]).count() == len(rows)
+    rows = synthetic(200)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    fitted = toxicity.train(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), labels)
+    found = toxicity.predict(edge, fitted.classifier).collect()
+    assert len(found) == edge.count() and all(0 <= r.score <= 1 for r in found) and toxicity.predict(none, fitted.classifier).count() == 0
+    assert toxicity.predict(clash, fitted.classifier).count() == len(found)
     nothing = spark.createDataFrame([], "doc_id long, toxic int")
-    assert toxicity.train(edge, nothing) is None and {r.score for r in toxicity.predict(edge, None).collect()} == {0.0}
+    assert toxicity.train(edge, nothing) is None and toxicity.train(none, labels) is None
+    assert {r.score for r in toxicity.predict(edge, None).collect()} == {0.0}
     assert toxicity.train(edge, spark.createDataFrame([(3, 1), (4, None)], "doc_id long, toxic int")) is None
+    toxicity.train(clash, spark.createDataFrame([(3, 1), (4, 0), (5, 1), (None, 1)], "doc_id long, toxic int"))

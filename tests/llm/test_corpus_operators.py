@@ -348,6 +348,66 @@ def test_shard_edge_cases(edge, none, clash, tmp_path):
     assert edge.sparkSession.read.parquet(str(tmp_path / "shards")).count() == edge.count()
 
 
+def spark_hash(*values, seed=42):
+    """XXH64 chained over values as Spark's function does it: ints by 4 bytes, longs by 8, strings by their bytes."""
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else np.array(v[0], dtype=v[1]).tobytes()
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def brute_shards(rows, shards, seed, bucket_bytes):
+    """(shard, slot, shard of one more) of rows (id, text) without repeats."""
+    def best(i, n):
+        return max(range(n), key=lambda s: (spark_hash((seed, "<i4"), (s, "<i4"), None if i is None else (i, "<i8")), -s))
+
+    place = [best(i, shards) for i, _ in rows]
+    size = [len((t or "").encode()) + 1 for _, t in rows]
+    buckets = [max(1, -(-sum(z for z, p in zip(size, place) if p == s) // bucket_bytes)) for s in range(shards)]
+    hashed = lambda k, i, t: spark_hash((seed + k, "<i4"), None if i is None else (i, "<i8"), t)
+    out, at = {}, [0] * shards
+    for s in range(shards):
+        for b in range(buckets[s]):
+            own = sorted((k for k, (i, t) in enumerate(rows) if place[k] == s and hashed(1, i, t) % buckets[s] == b), key=lambda k: hashed(2, *rows[k]))
+            for q, k in enumerate(np.random.default_rng([seed, s, b]).permutation(len(own)).tolist()):
+                out[rows[own[k]]] = (s, at[s] + q, best(rows[own[k]][0], shards + 1))
+            at[s] += len(own)
+    return out
+
+
+def test_shards_equal_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(i if i % 50 else None, prose(rng, rng.randint(0, 60)) if i % 9 else None) for i in range(400)]
+    rows = list(dict.fromkeys(rows + [(7, f"more of the same id {k}") for k in range(200)]))
+    out = sharding.shuffle_into_shards(spark.createDataFrame(rows, "doc_id long, text string"), 5, 77, 3000)
+    got = {(r.doc_id, r.text): (r.shard, r.slot, r.grown) for r in out.withColumn("grown", sharding.shard_of(F.col("doc_id"), 6, 77)).collect()}
+    assert got == brute_shards(rows, 5, 77, 3000)
+
+
+def test_repeated_rows_are_split(spark, monkeypatch):
+    inner = sharding._fisher_yates
+    docs = spark.range(6000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("x" * 999).alias("text")).unionByName(spark.range(300).select("id", F.col("id").cast("string").alias("text")).toDF("doc_id", "text"))
+    seen = spark.sparkContext.accumulator(0)
+    most = 2 * (1 << 17) // 1000
+
+    def counted(*args):
+        run = inner(*args)
+
+        def check(rows):
+            if rows.num_rows > most:
+                seen.add(1)
+            return run(rows)
+
+        return check
+
+    monkeypatch.setattr(sharding, "_fisher_yates", counted)
+    rows = sharding.shuffle_into_shards(docs, 4, bucket_bytes=1 << 17).select("doc_id", "shard", "slot").collect()
+    assert seen.value == 0 and len({r.shard for r in rows if r.doc_id == 5}) == 1
+    for s in range(4):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 # ---------------------------------------------------------------- packing
 
 

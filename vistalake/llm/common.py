@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import gc
 import shutil
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch: texts may be long, and a batch is held several times over, in the JVM and in Python.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch: texts may be long, and a batch is held several times over, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to ``BATCH_ROWS`` where it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's bound on the bytes of an Arrow batch to ``BATCH_BYTES`` where it is larger.
+
+    The bound is read when a query is planned, after the operator has returned, so it has to be the session's.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def crc_bucket(doc_id, modulus: int):
@@ -39,10 +44,12 @@ def crc_bucket(doc_id, modulus: int):
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of its own only where none is set (tests, one machine)."""
+    """The shared folder of the cluster; a folder of its own only in local mode, where none is set."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="vistalake-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
@@ -52,7 +59,33 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted with the scratch scope around the call or when the driver exits."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _OPEN.get().append(path)
+    return path
+
+
+#: The paths that the innermost scratch scope will delete.
+_OPEN: ContextVar[list[str]] = ContextVar("open_scratch", default=[])
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the tables that are materialized inside, but for those appended to the list that it gives."""
+    kept: list[DataFrame] = []
+    outer = _OPEN.get()
+    token = _OPEN.set([])
+    try:
+        yield kept
+    finally:
+        paths = _OPEN.get()
+        _OPEN.reset(token)
+        stay = {getattr(t, "scratch", None) for t in kept}
+        for path in paths:
+            if path in stay:
+                outer.append(path)
+            else:
+                remove_path(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -60,7 +93,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder through Hadoop's file system, wherever it lives."""
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing will read again."""
+    for t in tables:
+        if getattr(t, "scratch", None):
+            remove_path(t.sparkSession, t.scratch)
 
 
 def broadcast_small(rows: DataFrame, most: int) -> DataFrame:
@@ -76,15 +130,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def lean_worker() -> None:
-    """In a Python worker: gives back what the tokenizer's tasks remembered, before a task of another kind."""
+    """In a Python worker: forgets what the tokenizer's tasks remembered, before a task of another kind."""
     packing = sys.modules.get("vistalake.llm.packing")
     if packing is not None and packing.encoder_of.cache_info().currsize:
         packing.encoder_of.cache_clear()
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            return  # another C library: the memory stays with the worker, for its own use
 
 
 def fresh_name(taken, wanted: str) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import materialize
+from vistalake.llm.common import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not mark.n or before == (mark.n, mark.s):
             break
         before = (mark.n, mark.s)
-        edges = materialize(_tidy(_small_star(_tidy(_large_star(edges)))), "links")
+        old, edges = edges, materialize(_tidy(_small_star(_tidy(_large_star(edges)))), "links")
+        release(old)
     else:
         raise RuntimeError("components did not converge")
     # At the fixed point every edge leads from a node to the smallest of its component.

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import fresh_name, materialize, table
+from vistalake.llm.common import broadcast_small, fresh_name, materialize, release, table
 
 MIN_SITES = 10
 #: Estimates within this share of the threshold are counted exactly: over six standard errors of a sketch with
@@ -63,22 +63,17 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     low, high = min_sites * (1 - NEAR), min_sites * (1 + NEAR)
     wide = materialize(line_spread(lines).where(F.col("sites") >= F.lit(int(low))), "wide-lines")
     close = wide.where(F.col("sites") <= F.lit(high)).select("h1", "h2")
-    exact = lines.join(_small(close), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("exact"))
-    return materialize(
-        wide.join(exact, ["h1", "h2"], "left").where(F.when(F.col("sites") <= F.lit(high), F.coalesce("exact", F.lit(0))).otherwise(F.col("sites")) >= min_sites).select("h1", "h2", "first"),
-        "boilerplate",
-    )
-
-
-def _small(keys: DataFrame) -> DataFrame:
-    """Broadcast if the number of rows is known to be small; else as it is."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+    exact = lines.join(broadcast_small(close, BROADCAST_KEYS), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("exact"))
+    sites = F.when(F.col("sites") <= F.lit(high), F.coalesce("exact", F.lit(0))).otherwise(F.col("sites"))
+    found = materialize(wide.join(exact, ["h1", "h2"], "left").where(sites >= min_sites).select("h1", "h2", "first"), "boilerplate")
+    release(wide)
+    return found
 
 
 def removals(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``doc_id, rid, gone``: the positions (sorted) of the lines to remove from a document."""
     lines = lines_of(documents)
-    found = lines.join(_small(boilerplate(lines, min_sites)), ["h1", "h2"])
+    found = lines.join(broadcast_small(boilerplate(lines, min_sites), BROADCAST_KEYS), ["h1", "h2"])
     again = found.where(~F.struct("doc_id", "rid", "pos").eqNullSafe(F.struct("first.doc_id", "first.rid", "first.pos")))
     return again.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
@@ -97,13 +92,12 @@ def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, removed
 
     ``removed`` names a further column for the number of lines that went.
     """
-    rid, key, gone = (fresh_name(documents.columns, x) for x in ("line_rid", "line_doc", "line_gone"))
-    out = removals(documents, min_sites).select(F.col("doc_id").alias(key), F.col("rid").alias(rid), F.col("gone").alias(gone))
+    rid, key, row, gone, new = (fresh_name(documents.columns, x) for x in ("line_rid", "line_doc", "line_row", "line_gone", "line_text"))
+    out = removals(documents, min_sites).select(F.col("doc_id").alias(key), F.col("rid").alias(row), F.col("gone").alias(gone))
     text = F.col("text").cast("string")
     marked = documents.withColumn(rid, F.xxhash64(F.lit(31), F.col("doc_id").cast("long"), text))
-    joined = marked.join(out.withColumnRenamed(rid, f"{rid}_r"), (F.col(rid) == F.col(f"{rid}_r")) & F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
+    joined = marked.join(out, (F.col(rid) == F.col(row)) & F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
     # One expression makes the text; what depends on it reads the column.
-    new = fresh_name(documents.columns, "line_text")
     changed = joined.withColumn(new, F.when(F.col(gone).isNull(), text).otherwise(without(text, F.col(gone))))
     columns = []
     for c in documents.columns:

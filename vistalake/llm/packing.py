@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import bound_batches, materialize, table
+from vistalake.llm.common import bound_batches, materialize, release, table
 
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
@@ -204,7 +204,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, most_items: int = MOST_ITE
 def sequences(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Where every piece of every document is: its sequence and the offset there."""
     pieces = materialize(token_pieces(documents, path, capacity), "pieces")
-    return pack(pieces, capacity).mapInArrow(_unroll, f"{MEMBER}, sequence_id long, offset long")
+    bins = pack(pieces, capacity)
+    release(pieces)
+    return bins.mapInArrow(_unroll, f"{MEMBER}, sequence_id long, offset long")
 
 
 def _unroll(batches):

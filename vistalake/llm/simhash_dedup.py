@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import bound_batches, broadcast_small, fresh_name, lean_worker, materialize, table
+from vistalake.llm.common import bound_batches, broadcast_small, fresh_name, lean_worker, materialize, release, scratch_scope, table
 from vistalake.llm.components import connected_components
 
 SEED, RADIUS, PIVOTS = 42, 4, 16
@@ -457,18 +457,23 @@ def remaining_links(documents: DataFrame, distinct: DataFrame, found: DataFrame,
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("part").alias("a"), F.max("part").alias("b"), F.max(early).alias("useful"))
     several = materialize(sizes.where("rows > 1 AND a <> b AND useful").select("key", "rows"), "open-buckets")
     keyed = materialize(_tiled(rows.join(broadcast_small(several, BROADCAST_KEYS), "key"), "rep").select("key", "tile", "rep", "mine", "part", "n", "pos"), "buckets")
+    release(nodes, several)
     sketches = distinct.select("rep", "sketch")
     for every in (False, True):
         left = keyed.join(sketches, "rep").select("key", "tile", "rep", "mine", "part", "n", "pos", "sketch")
         pairs = left.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_proposal_batches(similarity, every), "u long, v long")
         pairs = materialize(pairs.distinct(), "candidates")
-        similar = materialize(verified_links(documents, pairs, size, similarity), "similar")
+        similar = verified_links(documents, pairs, size, similarity)
         found = found.unionByName(similar)
-        if every or pairs.count() == similar.count():
+        refused = pairs.count() - similar.count()
+        release(pairs)
+        if every or not refused:
+            release(keyed)
             return found
         parted = _parted(keyed.drop("part"), found)
         still = parted.groupBy("key", "tile").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key", "tile")
-        keyed = materialize(parted.join(still, ["key", "tile"]), "buckets")
+        old, keyed = keyed, materialize(parted.join(still, ["key", "tile"]), "buckets")
+        release(old, parted)
     return found
 
 
@@ -480,15 +485,19 @@ def _parted(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def cluster(prints: DataFrame, links, words: tuple[str, ...] = WIDE[:1]) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``prints`` (which is read more than once).
+    """``doc_id, fp, component_id``, materialized, for every row of ``prints``, a materialized table that is deleted.
 
     Rows of equal ``words``, which the other columns follow from, are one; ``links`` makes the links between these.
     """
-    rest = [c for c in prints.columns if c not in ("doc_id", *words)]
-    distinct = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in rest)), "prints")
-    parts = connected_components(links(distinct.where("rep IS NOT NULL")))
-    named = distinct.join(parts, F.col("rep") == F.col("node"), "left").select(*words, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, list(words)).select("doc_id", "fp", "component_id")
+    with scratch_scope(prints.sparkSession) as kept:
+        rest = [c for c in prints.columns if c not in ("doc_id", *words)]
+        distinct = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in rest)), "prints")
+        names = materialize(prints.select("doc_id", *dict.fromkeys(["fp", *words])), "names")
+        release(prints)
+        parts = connected_components(links(distinct.where("rep IS NOT NULL")))
+        named = distinct.join(parts, F.col("rep") == F.col("node"), "left").select(*words, F.coalesce("component", "rep").alias("component_id"))
+        kept.append(materialize(names.join(named, list(words)).select("doc_id", "fp", "component_id"), "components"))
+    return kept[0]
 
 
 #: Ids, or keys of buckets, that may be broadcast; beyond it a join is shuffled.
@@ -496,9 +505,10 @@ BROADCAST_IDS, BROADCAST_KEYS = 2_000_000, 1_000_000
 
 
 def verified_links(documents: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs ``u, v`` of ids (distinct rows, read twice) whose texts' sets of word shingles are at least that similar, by Jaccard."""
-    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "candidate-ids")
-    ids = broadcast_small(ids, BROADCAST_IDS)
+    """The pairs ``u, v`` of ids (distinct rows, read twice) whose texts' sets of word shingles are at least that similar, by Jaccard; materialized.
+
+    Of texts with the same id each is compared.
+    """
 
     def run(batches):
         lean_worker()
@@ -506,11 +516,15 @@ def verified_links(documents: DataFrame, pairs: DataFrame, size: int, similarity
             sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-    sets = materialize(texts.mapInArrow(run, "id long, shingles array<long>"), "shingle-sets")
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
+    with scratch_scope(documents.sparkSession) as kept:
+        ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "candidate-ids")
+        texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(broadcast_small(ids, BROADCAST_IDS), "id", "left_semi")
+        sets = materialize(texts.mapInArrow(run, "id long, shingles array<long>"), "shingle-sets")
+        both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        alike = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v").distinct()
+        kept.append(materialize(alike, "similar"))
+    return kept[0]
 
 
 def near_duplicates(documents: DataFrame, size: int = 4, radius: int = RADIUS) -> DataFrame:
@@ -533,7 +547,7 @@ def similar_documents(documents: DataFrame, size: int = 5, similarity: float = 0
         pairs = near_links(distinct, radius, sampled_keys(distinct), COMPARED)
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         pairs = materialize(plausible_links(pairs, distinct, similarity), "candidates")
-        first = materialize(verified_links(documents, pairs, size, similarity), "similar")
+        first = verified_links(documents, pairs, size, similarity)
         return remaining_links(documents, distinct, first, size, similarity)
 
     return cluster(prints, links, SAME)

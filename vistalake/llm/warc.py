@@ -20,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import materialize, scratch_path, table
+from vistalake.llm.common import broadcast_small, materialize, scratch_path, scratch_scope, table
 
 MAGIC = "WARC/1.0\r\n"
 REVISIT_BYTES = 1000
+#: File names that may be broadcast; beyond it the join is shuffled.
+BROADCAST_FILES = 100_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -68,7 +70,8 @@ def record_text(pages: DataFrame) -> F.Column:
 
 def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> None:
     """Archives in ``path``, one for each partition of ``pages``; ``compression`` is ``gzip`` or ``none``."""
-    with_revisits(pages).select(record_text(pages).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    with scratch_scope(pages.sparkSession):
+        with_revisits(pages).select(record_text(pages).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -157,7 +160,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         return heads.select(*columns)
     # Records cut by magic in their payload: only their pieces are read again and joined, in order.
     cut = chain.where("pieces > 1")
-    again = _pieces(spark, path).join(F.broadcast(cut.select("file").distinct()), "file", "left_semi")
+    again = _pieces(spark, path).join(broadcast_small(cut.select("file").distinct(), BROADCAST_FILES), "file", "left_semi")
     texts = _with_offsets(again.select("file", "split", "seq", "size", "value")).join(cut, ["file", "offset"]).select("file", "owner", "offset", "value")
     joined = texts.groupBy("file", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda p: p["value"]), MAGIC).alias("value"))
     whole = _parsed(joined.select("file", F.col("owner").alias("offset"), F.octet_length("value").cast("long").alias("size"), F.substring_index("value", "\r\n\r\n", 1).alias("head"), "value"))
@@ -178,9 +181,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives in the shared folder and read back."""
-    path = scratch_path(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path)
-    return resolve_revisits(materialize(read_archives(spark, path), "warc-records"))
+    with scratch_scope(spark) as kept:
+        path = scratch_path(spark, "warc")
+        write_archives(table(spark, sf_dir, "pages"), path)
+        kept.append(materialize(read_archives(spark, path), "warc-records"))
+    return resolve_revisits(kept[0])
 
 
 OP7_SQL = f"""

@@ -306,15 +306,24 @@ def test_contamination_equals_all_windows():
     assert found > 100
 
 
-def test_multi_index_blocks_find_all_within_the_radius():
+def test_multi_index_lookups_equal_the_radius_scan(monkeypatch):
     rng = np.random.default_rng(2)
-    prints = np.array([np.uint64(12345) ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, size=int(rng.integers(1, 30)), replace=False).astype(np.uint64)) for _ in range(2000)], dtype=np.uint64)
-    assert decontaminate.near(prints, 12345).tolist() == np.nonzero(np.bitwise_count(prints ^ np.uint64(12345)) <= decontaminate.RADIUS)[0].tolist()
+    items = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    windows = np.array([rng.choice(items) ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, size=int(rng.integers(1, 30)), replace=False).astype(np.uint64)) for _ in range(1500)], dtype=np.uint64)
+    for pairs, entries in ((1 << 20, 1 << 20), (200, 300)):  # the second in many steps, its buckets forgotten
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        monkeypatch.setattr(decontaminate, "BUCKET_ENTRIES", entries)
+        blocks = decontaminate.Blocks(items)
+        for radius in (19, 8, 0):
+            found = blocks.within(windows, radius)
+            want = np.nonzero(np.bitwise_count(windows[:, None] ^ items[None]) <= radius)
+            assert [x.tolist() for x in found] == [x.tolist() for x in want]
+        assert [len(x) for x in blocks.within(windows[:0], 19)] == [0, 0]
 
 
 def test_contamination_edge_cases(spark, edge, none, clash, monkeypatch):
-    bench = spark.createDataFrame([(1, None), (2, ""), (3, "and more words here to read"), (3, "and more words here to read"), (4, "no id here at all"), (None, "nothing of this kind anywhere")], "item_id long, text string")
-    want = sorted([(3, 3), (3, 3), (3, 3), (3, 3), (4, 3), (4, 3), (None, 4)], key=str)
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "and more words here to read"), (3, "and more words here to read"), (4, "no id here at all"), (None, "nothing of this kind anywhere"), (None, "no id here at all")], "item_id long, text string")
+    want = sorted([(3, 3), (3, 3), (3, 3), (3, 3), (4, 3), (4, 3), (None, 4), (None, None)], key=str)
     assert sorted(((r.doc_id, r.item_id) for r in decontaminate.contaminated(edge, bench).collect()), key=str) == want
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)  # several passes
     assert sorted(((r.doc_id, r.item_id) for r in decontaminate.contaminated(edge, bench).collect()), key=str) == want

@@ -1,9 +1,10 @@
 """Benchmark decontamination with SimHash windows.
 
 For every benchmark item each window of a document that is as long as the item gets a SimHash of its word shingles.
-Multi-index Hamming blocks (four blocks of 16 bits: fingerprints within ``RADIUS`` are within a quarter of it in some
-block) pick the windows whose fingerprint can be within the radius, the distance confirms it, and the exact weighted
-similarity of the two shingle multisets (sum of minima over sum of maxima) decides.
+The items of one length are indexed by the four blocks of 16 bits of their fingerprints (``Blocks``): fingerprints
+within ``RADIUS`` are within a quarter of it in some block, so looking a window's blocks up finds every item within the
+radius. The distance confirms it, and the exact weighted similarity of the two shingle multisets (sum of minima over
+sum of maxima) decides.
 
 Windows without any shingle of an item have similarity zero to it and are not hashed. The benchmark goes to every
 executor in blocks of at most ``BLOCK_BYTES`` of item text, one pass over the documents for each block.
@@ -11,8 +12,10 @@ executor in blocks of at most ``BLOCK_BYTES`` of item text, one pass over the do
 Words are what ASCII white space separates, A-Z lowered, without punctuation at their ends. An item of fewer than
 five words is one shingle of all its words; a document shorter than an item is one window.
 
-Defined cases: null and empty texts (of documents or items) match nothing; repeated documents or items give repeated
-rows; the first of equally similar windows is reported; extra columns are ignored, and kept by ``drop_contaminated``.
+Defined cases: null and empty texts (of documents or items) match nothing; a very long text is searched whole, in
+stretches; repeated documents or items give repeated rows; a null ``item_id`` stays null; the first of equally similar
+windows is reported; an empty table of documents or items gives no rows, and drops none; extra columns are ignored,
+and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from vistalake.llm.common import bound_batches, fresh_name, lean_worker, table
 
 SIZE, SIMILARITY, RADIUS = 5, 0.8, 19
 BLOCK_BYTES = 16 << 20
-#: Window starts that are hashed at once.
-STRETCH = 4096
+#: Window starts that are hashed at once, pairs that a lookup holds, and entries that the buckets of a length hold.
+STRETCH, PAIRS, BUCKET_ENTRIES = 4096, 1 << 20, 4 << 20
 _EDGE = b"\"'`.,;:!?()[]{}<>*$%&#|-_=+~^/\\"
 
 
@@ -75,17 +78,52 @@ def window_prints(codes: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def near(prints: np.ndarray, target: int, radius: int = RADIUS) -> np.ndarray:
-    """Which fingerprints are within the radius of ``target``, by the blocks first."""
-    apart = prints ^ np.uint64(target)
-    blocks = np.bitwise_count(apart.view(np.uint16).reshape(-1, 4))
-    maybe = np.nonzero((blocks <= radius // 4).any(axis=1))[0]
-    return maybe[np.bitwise_count(apart[maybe]) <= radius]
+class Blocks:
+    """A multi-index of fingerprints: which of them are near a value in each of their four blocks of 16 bits.
+
+    Fingerprints within the radius are within a quarter of it in some block. The bucket of a block's value lists the
+    fingerprints that near in this block; it is made when a window first asks for it and then looked up.
+    """
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        self.blocks = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, 4)
+        self.buckets: dict[tuple[int, int, int], np.ndarray] = {}
+        self.held = 0
+
+    def bucket(self, block: int, value: int, reach: int) -> np.ndarray:
+        found = self.buckets.get((block, value, reach))
+        if found is None:
+            found = np.nonzero(np.bitwise_count(self.blocks[:, block] ^ np.uint16(value)) <= reach)[0]
+            if self.held > BUCKET_ENTRIES:
+                self.buckets, self.held = {}, 0
+            self.buckets[block, value, reach] = found
+            self.held += len(found) + 8
+        return found
+
+    def within(self, windows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of windows and of fingerprints that are within the radius: all such pairs, by window."""
+        out = [np.zeros(0, np.int64)]
+        count, step = len(self.prints), max(1, PAIRS // max(1, len(self.prints)))
+        for s in range(0, len(windows), step):
+            some = np.ascontiguousarray(windows[s : s + step])
+            pairs = []
+            for block, values in enumerate(some.view(np.uint16).reshape(-1, 4).T):
+                asked, which = np.unique(values, return_inverse=True)
+                lists = [self.bucket(block, v, radius // 4) for v in asked.tolist()]
+                sizes = np.array([len(x) for x in lists])
+                first, many = (np.cumsum(sizes) - sizes)[which], sizes[which]
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+                pairs.append(np.repeat(np.arange(s, s + len(some)), many) * count + np.concatenate(lists)[place])
+            found = np.unique(np.concatenate(pairs))
+            out.append(found[np.bitwise_count(windows[found // count] ^ self.prints[found % count]) <= radius])
+        every = np.concatenate(out)
+        return every // count, every % count
 
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: int | None
     size: int  # words of a shingle
     words: int
     print: int
@@ -98,9 +136,10 @@ class Index:
     items: list[Item]
     vocabulary: dict[bytes, int]
     anchors: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # size: sorted codes, first place in owners, owners
+    lengths: dict[tuple[int, int], tuple[np.ndarray, Blocks]]  # words of a shingle, shingles: items and their index
 
 
-def build_index(items: list[tuple[int, str | None]]) -> Index:
+def build_index(items: list[tuple[int | None, str | None]]) -> Index:
     made, vocabulary = [], {}
     owners: dict[int, dict[int, list[int]]] = {}
     for item_id, text in items:
@@ -121,7 +160,11 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
         lists = [by_code[c] for c in codes]
         first = np.cumsum([0, *map(len, lists)])
         anchors[size] = (np.array(codes, dtype=np.uint64), first, np.array([i for x in lists for i in x], dtype=np.int64))
-    return Index(made, vocabulary, anchors)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, item in enumerate(made):
+        alike.setdefault((item.size, int(item.counts.sum())), []).append(k)
+    lengths = {key: (np.array(own), Blocks(np.array([made[k].print for k in own], dtype=np.uint64))) for key, own in alike.items()}
+    return Index(made, vocabulary, anchors, lengths)
 
 
 class _Known(dict):
@@ -168,14 +211,14 @@ def matches(text: str | None, index: Index, known: _Known, similarity: float = S
             continue
         if full is None:
             full = np.array([h if h > 1 else word_hash(t.strip(_EDGE)) for t, h in zip(tokens, hashes.tolist())], dtype=np.uint64)
-        places: dict[int, list[int]] = {}
+        places: dict[int, set[int]] = {}  # by the items' length
+        present: set[int] = set()
         for p, a in zip(starts[hit].tolist(), at[hit].tolist()):
             for k in owner[first[a] : first[a + 1]].tolist():
-                places.setdefault(k, []).append(p)
-        for k, where in places.items():
-            best = best_window(full, index.items[k], np.array(where), similarity, radius)
-            if best:
-                out.append((index.items[k].item_id, *best))
+                present.add(k)
+                places.setdefault(int(index.items[k].counts.sum()), set()).add(p)
+        for n, where in places.items():
+            out += similar_windows(full, index, (size, n), np.array(sorted(where)), present, similarity, radius)
     return out
 
 
@@ -186,12 +229,17 @@ def shingle_codes_at(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.nd
     return out
 
 
-def best_window(hashes: np.ndarray, item: Item, anchors: np.ndarray, similarity: float, radius: int) -> tuple[float, int, int] | None:
-    """The most similar window, of those that hold an anchor, that is near in fingerprint and similar enough."""
-    there = len(hashes) - item.size + 1
-    n = min(int(item.counts.sum()), there)
+def similar_windows(hashes: np.ndarray, index: Index, length: tuple[int, int], anchors: np.ndarray, present: set[int], similarity: float, radius: int) -> list[tuple[int, float, int, int]]:
+    """(item_id, similarity, first word, words) of the best window for each ``present`` item of one length.
+
+    Windows that hold an anchor are looked up in the length's index; the exact similarity decides.
+    """
+    size, shingles = length
+    numbers, blocks = index.lengths[length]
+    there = len(hashes) - size + 1
+    n = min(shingles, there)
     lo, hi = np.maximum(anchors - n + 1, 0), np.minimum(anchors, there - n)
-    best: tuple[float, int, int] | None = None
+    best: dict[int, tuple[float, int]] = {}
     begin = 0
     while begin < len(lo):
         end = begin + 1
@@ -199,21 +247,23 @@ def best_window(hashes: np.ndarray, item: Item, anchors: np.ndarray, similarity:
             end += 1
         a, b = int(lo[begin]), int(hi[end - 1])
         begin = end
-        codes = shingle_codes(hashes[a : b + n + item.size - 1], item.size)
-        close = near(window_prints(codes, n), item.print, radius)
-        if not len(close):
-            continue
-        local = np.minimum(np.searchsorted(item.codes, codes), len(item.codes) - 1)
-        same = item.codes[local] == codes
-        onehot = np.zeros((len(codes) + 1, len(item.codes)), dtype=np.int32)
-        onehot[np.nonzero(same)[0] + 1, local[same]] = 1
-        np.cumsum(onehot, axis=0, out=onehot)
-        shared = np.minimum(onehot[close + n] - onehot[close], item.counts[None]).sum(1)
-        score = shared / (n + int(item.counts.sum()) - shared)
-        top = int(score.argmax())
-        if score[top] >= similarity - 1e-12 and (best is None or score[top] > best[0]):
-            best = (float(score[top]), a + int(close[top]), n + item.size - 1)
-    return best
+        codes = shingle_codes(hashes[a : b + n + size - 1], size)
+        windows, found = blocks.within(window_prints(codes, n), radius)
+        for k in np.unique(found).tolist():
+            if int(numbers[k]) not in present:
+                continue
+            item, close = index.items[int(numbers[k])], windows[found == k]
+            local = np.minimum(np.searchsorted(item.codes, codes), len(item.codes) - 1)
+            same = item.codes[local] == codes
+            onehot = np.zeros((len(codes) + 1, len(item.codes)), dtype=np.int32)
+            onehot[np.nonzero(same)[0] + 1, local[same]] = 1
+            np.cumsum(onehot, axis=0, out=onehot)
+            shared = np.minimum(onehot[close + n] - onehot[close], item.counts[None]).sum(1)
+            score = shared / (n + shingles - shared)
+            top = int(score.argmax())
+            if score[top] >= similarity - 1e-12 and (k not in best or score[top] > best[k][0]):
+                best[k] = (float(score[top]), a + int(close[top]))
+    return [(index.items[int(numbers[k])].item_id, s, at, n + size - 1) for k, (s, at) in sorted(best.items())]
 
 
 _SCHEMA = "doc_id long, item_id long, similarity double, first_word long, window_words long"
@@ -226,7 +276,7 @@ def _item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64(F.lit(11), "item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield sorted((r.item_id if r.item_id is not None else -1, r.text) for r in part.collect())
+        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:

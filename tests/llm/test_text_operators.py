@@ -163,6 +163,13 @@ def test_every_language_is_learned(spark):
     assert sum(a == b for a, b in zip(language_id.score(model, [t for _, t, _ in rows])[0], [x for _, _, x in rows])) >= 0.95 * len(rows)
 
 
+def test_copies_of_a_text_lose_no_language(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("le même texte encore et encore").alias("text"), F.lit("fr").alias("lang"))
+    docs = docs.unionByName(spark.range(200).select((F.col("id") + 50_000).alias("doc_id"), F.concat(F.lit("some other words "), F.col("id")).alias("text"), F.lit("en").alias("lang")))
+    model = language_id.train(docs)
+    assert model.languages == ["en", "fr"] and language_id.score(model, ["le même texte"])[0] == ["fr"]
+
+
 def test_string_kernel_is_presence_over_norms():
     model = language_id.fit(["abab cd", "xyz xyz"], ["a", "b"], 1)
     features = language_id._profile(model.lookup, len(model.presence), ["abab cd"]) @ model.presence

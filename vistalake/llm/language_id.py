@@ -8,7 +8,8 @@ scored in batches by two matrix products (presence times landmarks, features tim
 Fitting uses at most ``LANDMARKS`` and ``SAMPLE`` training texts per language, chosen by a seeded hash; over ``FULL``
 languages share the total of that many, and every one is learned. Scoring reads every whole text.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; repeated rows get equal results; ties
+Defined cases: a null text or one without a letter is ``und`` with score 0; a very long text is scored whole, but not
+learned from; an empty table gives an empty result; repeated rows get equal results; ties
 between languages go to the first in alphabetic order; no training rows means everything is ``und``; extra columns
 are left alone by ``reject`` and dropped by ``predict``.
 """
@@ -32,6 +33,8 @@ ORDERS = (1, 2, 3, 4)
 LANDMARKS, SAMPLE, LONGEST = 24, 160, 6000
 #: So many languages get those numbers of texts in full; more of them share the same total, at least a text each.
 FULL = 64
+#: Languages that are learned at most; beyond it the rarest are left out.
+MOST_LANGUAGES = 1000
 RIDGE = 1e-3
 #: Codes of letters: 0 is any run of other characters, 1 to 26 are a to z, then these, then one for all other letters.
 OTHERS = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœšžßąćęłńśźżěščřžůğıőű"
@@ -171,27 +174,29 @@ def score(model: Model | None, texts: list[str | None]) -> tuple[list[str], list
 
 
 def train(documents: DataFrame, modulus: int = 4, held: int = 2, landmarks: int = LANDMARKS, sample: int = SAMPLE) -> Model | None:
-    """Fits from the rows outside the held-out bucket: at most ``landmarks + sample`` texts per language.
+    """Fits from the rows outside the held-out bucket: at most ``landmarks + sample`` distinct texts per language.
 
-    The texts are those with the smallest seeded hashes; a language needs one text. Over ``FULL`` languages share the
-    texts of that many, so that the sample stays bounded, and each still gets one at least.
+    The texts are those with the smallest seeded hashes; a language needs one text. Copies of a text count once, so
+    that no language is lost to a text that most of its rows repeat. Over ``FULL`` languages share the texts of that
+    many, so that the sample stays bounded, and each still gets one at least; ``MOST_LANGUAGES``, the most frequent
+    ones, are learned.
     """
     rows = (
         documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket(F.col("doc_id"), modulus) != held))
         .where(F.length("text").between(1, LONGEST) & F.col("text").rlike(r"\p{L}"))
-        .select("lang", F.xxhash64(F.lit(17), "doc_id", "text").alias("order"), "text")
+        .select("lang", F.xxhash64(F.lit(17), "text").alias("order"), "text")
     )
-    limits = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
+    limits = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("order", 0.03).alias("distinct")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if len(limits) > FULL:
         landmarks, sample = max(1, landmarks * FULL // len(limits)), sample * FULL // len(limits)
     wanted = landmarks + sample
-    # The hash is uniform, so a threshold per language keeps a little more than the wanted rows, whatever the corpus.
-    bound = {r.lang: min(2**63 - 1, int(-(2**63) + min(1.0, (1.3 * wanted + 64) / r.n) * (2**64 - 1))) for r in limits}
+    # The hash is uniform, so a threshold per language keeps a little more than the wanted texts, whatever the corpus.
+    bound = {r.lang: min(2**63 - 1, int(-(2**63) + min(1.0, (1.3 * wanted + 64) / max(1, r.distinct)) * (2**64 - 1))) for r in limits}
     if not bound:
         return None
     most = documents.sparkSession.createDataFrame(list(bound.items()), "lang string, most long")
-    near = rows.join(F.broadcast(most), "lang").where("order <= most")
+    near = rows.join(F.broadcast(most), "lang").where("order <= most").groupBy("lang", "order").agg(F.min("text").alias("text"))
     if len(limits) > FULL:  # else what the thresholds let through beyond the wanted would grow with the languages
         near = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))).where(F.col("place") <= wanted)
     found = sorted((r.lang, r.order, r.text) for r in near.collect())

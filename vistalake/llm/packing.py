@@ -192,7 +192,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, most_items: int = MOST_ITE
         under = bins.where(F.col("fill") < capacity - nearly)
         left = under.count()
         single = level > 0 and before is not None and before <= most_items
-        stuck = before is not None and left > 0.99 * before
+        stuck = before is not None and left >= before
         if left <= 1 or single or stuck:
             return bins if done is None else done.unionByName(bins)
         done = full if done is None else done.unionByName(full)

@@ -4,7 +4,7 @@ Every rule is evaluated once per document. The ledger stores the measurements an
 policies are versioned masks over these bits, so a new policy or an ablation never reads a text again.
 
 Defined cases: a null or empty text has no words, so it fails ``min_words``; repeated rows are measured each on
-its own; an empty table gives an empty ledger; extra columns are ignored (only ``doc_id`` and ``text`` are read).
+its own; a very long text is measured whole; an empty table gives an empty ledger; extra columns are ignored (only ``doc_id`` and ``text`` are read).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.common import ASCII_SPACES, bound_batches, table, word_ids
+from vistalake.llm.common import ASCII_SPACES, bound_batches, materialize, table, word_ids
 
 SYMBOLS = "#*$%&|<>"
 
@@ -98,10 +98,13 @@ def fail_bits() -> Column:
 
 
 def ledger(documents: DataFrame) -> DataFrame:
-    """``doc_id``, the measurements and ``fail_bits`` of every document: one narrow pass, no shuffle."""
+    """``doc_id``, the measurements and ``fail_bits`` of every document, stored: one narrow pass, no shuffle.
+
+    Policies and ablations read the stored table, so no text is read twice.
+    """
     bound_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_measure_batches, _SCHEMA).withColumn("fail_bits", fail_bits())
+    return materialize(texts.mapInArrow(_measure_batches, _SCHEMA).withColumn("fail_bits", fail_bits()), "ledger")
 
 
 def apply_policy(entries: DataFrame, version: str = CURRENT) -> DataFrame:

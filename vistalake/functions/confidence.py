@@ -40,5 +40,5 @@ def is_confident(value, threshold) -> Column:
 
 
 def percent_text(value) -> Column:
-    """Rounded half to even, as ``42%``."""
-    return F.concat(F.bround(f32(value).cast("double") * 100, 0).cast("long").cast("string"), F.lit("%"))
+    """Rounded half to even after a product in single precision, as ``42%``."""
+    return F.concat(F.bround((f32(value) * f32(100)).cast("double"), 0).cast("long").cast("string"), F.lit("%"))

@@ -15,8 +15,6 @@ RELIABILITY = (CORROBORATED, HEURISTIC, PREDICTED, UNRELIABLE)
 
 RECT = T.StructType([T.StructField(n, T.LongType()) for n in "xywh"])
 POINT = T.StructType([T.StructField(n, T.FloatType()) for n in "xy"])
-HSV = T.StructType([T.StructField(n, T.FloatType()) for n in "hsv"])
-BUCKET = T.StructType([T.StructField(n, T.IntegerType()) for n in "rgb"])
 PIXEL_COLUMNS = ("x", "y", "r", "g", "b", "a")
 TRACK = T.StructType(
     [
@@ -40,20 +38,6 @@ BLOB = T.StructType(
         T.StructField("is_predicted", T.BooleanType()),
     ]
 )
-TEXT_QUALITY = T.StructType([T.StructField("sharpness", T.FloatType()), T.StructField("edge_samples", T.LongType()), T.StructField("legibility", T.StringType())])
-OCR_WORD = T.StructType([T.StructField("text", T.StringType()), *RECT.fields])
-OCR_RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("available", T.BooleanType()), T.StructField("words", T.ArrayType(OCR_WORD))])
-FRAME = T.StructType(
-    [
-        T.StructField("stream_id", T.StringType()),
-        T.StructField("frame_no", T.LongType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("width", T.IntegerType()),
-        T.StructField("height", T.IntegerType()),
-        T.StructField("data", T.BinaryType()),
-    ]
-)
-
 
 def detection_type(value: T.DataType) -> T.StructType:
     return T.StructType(
@@ -99,6 +83,11 @@ def is_present(detection: Column) -> Column:
     return detection.getField("value").isNotNull()
 
 
+def as_ref(detection: Column) -> Column:
+    """The detection itself: values are never owned twice here."""
+    return detection
+
+
 def map_value(detection: Column, f) -> Column:
     """The detection with ``f`` applied to its value, all else unchanged."""
     value = detection.getField("value")

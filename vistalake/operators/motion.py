@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vistalake.functions.arrays import runs_of
 from vistalake.functions.confidence import f32
 from vistalake.functions.rect import area
 from vistalake.model import BLOB, CORROBORATED, HEURISTIC, PREDICTED, UNRELIABLE
@@ -20,6 +21,7 @@ from vistalake.operators.folds import ordered_fold
 from vistalake.operators.runs import RectFold, group_runs, islands
 from vistalake.operators.tracking import Tracker
 
+#: Why a frame has no motion (fixed values).
 WARMING_UP = "warming up: no previous frame to diff against yet"
 RESIZED = "frame size changed since previous frame"
 STILL = "no motion above threshold"
@@ -141,25 +143,12 @@ def detect_motion(pixels: DataFrame, config: MotionConfig = MotionConfig(), stre
 # ---------------------------------------------------------------- packed frames, by numpy
 
 
-def frame_array(data: bytes, width: int, height: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.uint8).reshape(height, width, 4)
-
-
 def packed_mask(before: np.ndarray, now: np.ndarray, threshold: int) -> np.ndarray:
     d = np.abs(before[..., :3].astype(np.int16) - now[..., :3].astype(np.int16)).astype(np.float32)
     luma = np.float32(0.2126) * d[..., 0] + np.float32(0.7152) * d[..., 1] + np.float32(0.0722) * d[..., 2]
     return luma.astype(np.int32) >= threshold
 
 
-def packed_runs(mask: np.ndarray, min_width: int) -> list[tuple[int, int, int]]:
-    """(y, x0, x1) of the runs of a mask, in scan order."""
-    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    y, x0 = np.nonzero(edge == 1)
-    _, x1 = np.nonzero(edge == -1)
-    wide = x1 - x0 >= min_width
-    return list(zip(y[wide].tolist(), x0[wide].tolist(), (x1[wide] - 1).tolist()))
-
-
 def fold_runs(runs: list[tuple[int, int, int]], min_height: int, max_gap: int) -> list[list[int]]:
     fold = RectFold(min_height, max_gap)
     out = [r for run in runs for r in fold.push(*run)]
@@ -167,4 +156,4 @@ def fold_runs(runs: list[tuple[int, int, int]], min_height: int, max_gap: int) -
 
 
 def packed_blobs(mask: np.ndarray, config: MotionConfig) -> list[tuple[int, int, int, int]]:
-    return [tuple(r) for r in fold_runs(packed_runs(mask, config.min_run_width), config.min_blob_height, 1) if r[2] * r[3] >= config.min_blob_area]
+    return [tuple(r) for r in fold_runs(runs_of(mask, config.min_run_width), config.min_blob_height, 1) if r[2] * r[3] >= config.min_blob_area]

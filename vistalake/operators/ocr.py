@@ -25,6 +25,7 @@ MIN_TEXT_HEIGHT = 48
 WINDOWS_PATHS = (r"C:\Program Files\Tesseract-OCR\tesseract.exe", r"C:\Program Files (x86)\Tesseract-OCR\tesseract.exe")
 
 
+# The options' names and order are the program's (fixed values).
 @dataclass(frozen=True)
 class OcrConfig:
     psm: int = 11
@@ -40,6 +41,13 @@ def tesseract_args(image: str, config: OcrConfig = OcrConfig()) -> list[str]:
     return [image, "stdout", *config.to_args(), "tsv"]
 
 
+def command(image: Column, psm: Column, whitelist: Column) -> Column:
+    """``tesseract_args`` of columns: an array of strings; a null ``whitelist`` allows everything."""
+    allowed = F.when(whitelist.isNotNull(), F.array(F.lit("-c"), F.concat(F.lit("tessedit_char_whitelist="), whitelist))).otherwise(F.array().cast("array<string>"))
+    fixed = lambda *words: [F.lit(w) for w in words]
+    return F.concat(F.array(image, *fixed("stdout", "--oem", "3", "--psm"), psm.cast("string")), allowed, F.array(*fixed("-c", "preserve_interword_spaces=1", "tsv")))
+
+
 def find_engine() -> str | None:
     own = os.environ.get("TESSERACT_BIN")
     if own and os.path.isfile(own):
@@ -164,13 +172,19 @@ def scaled_words(words: Column, scale: Column) -> Column:
     return F.transform(words, lambda v: F.struct(v["text"].alias("text"), *(part(v[n]).alias(n) for n in "xywh")))
 
 
+def native_engine():
+    """The operating system's own engine, for the user's languages; there is none outside Windows."""
+    return None
+
+
 def native_engine_available() -> bool:
-    """The operating system's own engine; there is none outside Windows."""
-    return False
+    return native_engine() is not None
 
 
 def recognize_native(image: np.ndarray) -> str | None:
-    return None
+    """What the system's engine reads in an RGBA image; null without one."""
+    engine = native_engine()
+    return engine(swizzle(image)) if engine else None
 
 
 def swizzle(pixels: np.ndarray) -> np.ndarray:

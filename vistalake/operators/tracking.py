@@ -10,6 +10,7 @@ import json
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vistalake.model import TRACK
@@ -109,6 +110,17 @@ def is_predicted(track):
     return track["missed_frames"] > 0
 
 
+def frame_index(track):
+    """Column: how many frames the track's stream has had."""
+    return track["last_seen_frame"] + track["missed_frames"]
+
+
+def distance(a, b):
+    """Column: the distance of two points, in single precision."""
+    dx, dy = ((a[c] - b[c]).cast("float") for c in "xy")
+    return F.sqrt(dx * dx + dy * dy).cast("float")
+
+
 def track_objects(detections: DataFrame, max_distance: float = 48.0, grace: int = 5, stream: str = "stream_id") -> DataFrame:
     """``stream, frame_no, track`` rows: the live tracks after each frame that has a row in ``detections``.
 

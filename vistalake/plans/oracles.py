@@ -6,6 +6,7 @@ Rasters have known geometry, so most of this is arithmetic on the tables and doe
 from __future__ import annotations
 
 from vistalake.functions.glyphs import GLYPHS
+from vistalake.plans.more_oracles import MORE_ORACLES
 
 _FILL = "CAST(CASE WHEN s_suppkey % 10 = 0 THEN 64 ELSE least(greatest(floor((s_acctbal + 1000) / 11000 * 64), 0), 64) END AS BIGINT)"
 _G = f"g AS (SELECT s_suppkey AS frame_id, {_FILL} AS fp, s_suppkey % 3 AS kind FROM supplier)"
@@ -28,7 +29,7 @@ _GLYPH_ROWS = ", ".join(
     f"('{ch.replace(chr(39), chr(39) * 2)}', {col}, {row})" for ch, columns in GLYPHS.items() for col, bits in enumerate(columns) for row in range(7) if bits >> row & 1
 )
 
-ORACLES = {
+_ORACLES = {
     "confidence_fold": """
 WITH c AS (SELECT doc_id, CAST(quality AS FLOAT) * CAST(0.6 AS FLOAT) AS a, CAST(toxic AS FLOAT) * CAST(0.3 AS FLOAT) AS b FROM labels),
 d AS (SELECT doc_id, (a + b - a * b) * CAST(0.9 AS FLOAT) AS v FROM c)
@@ -65,6 +66,7 @@ l AS (SELECT frame_id, x, y, CASE WHEN NOT (x BETWEEN 8 AND 71 AND y BETWEEN 20
 s AS (SELECT frame_id, abs(lead(luma) OVER (PARTITION BY frame_id, y ORDER BY x) - luma) AS step FROM l),
 c AS (SELECT frame_id, count(*) FILTER (WHERE step >= 18) AS edge_samples, count(*) FILTER (WHERE step >= 70) AS hard FROM s GROUP BY frame_id)
 SELECT frame_id, CASE WHEN edge_samples >= 24 THEN round(CAST(CAST(hard AS FLOAT) / CAST(edge_samples AS FLOAT) AS DOUBLE), 4) ELSE 0.0 END AS sharpness, edge_samples,
+edge_samples >= 24 AND CAST(hard AS FLOAT) / CAST(edge_samples AS FLOAT) >= CAST(0.35 AS FLOAT) AS is_legible,
 CASE WHEN edge_samples < 24 THEN 'NoText' WHEN CAST(hard AS FLOAT) / CAST(edge_samples AS FLOAT) >= CAST(0.35 AS FLOAT) THEN 'Sharp' ELSE 'Blurred' END AS legibility FROM c""",
     "motion_mask_stats": f"""WITH {_M}, n AS (SELECT *, CASE WHEN status = 'ok' THEN 16 * least(step, 8) ELSE 0 END AS moved_pixels FROM f)
 SELECT stream_id, frame_no, status, moved_pixels, round(CAST(CAST(moved_pixels AS FLOAT) / (CAST(width AS FLOAT) * CAST(24 AS FLOAT)) AS DOUBLE), 6) AS changed_fraction FROM n""",
@@ -72,9 +74,14 @@ SELECT stream_id, frame_no, status, moved_pixels, round(CAST(CAST(moved_pixels A
 UNION ALL SELECT stream_id, frame_no, 12 + (frame_no - 1) * step, CAST(8 AS BIGINT), step, CAST(8 AS BIGINT) FROM f WHERE status = 'ok' AND step BETWEEN 1 AND 7""",
     "motion_detect": f"""
 WITH {_M}, k AS (SELECT *, CASE WHEN step > 0 AND status = 'ok' THEN CASE WHEN stream_id % 11 = 5 AND frame_no = 5 THEN 3 ELSE frame_no END ELSE 0 END AS hits,
-  CASE WHEN step = 0 OR frame_no = 0 THEN 0 WHEN step = 8 THEN 1 ELSE 2 END AS live FROM f),
+  CASE WHEN step = 0 OR frame_no = 0 THEN 0 WHEN step = 8 THEN 1 ELSE 2 END AS live, status = 'ok' AND step > 0 AS shown,
+  CASE WHEN frame_no = 1 THEN 0 WHEN stream_id % 11 = 5 AND frame_no = 5 THEN 3 * step ELSE step END AS speed FROM f),
 conf AS (SELECT * FROM (VALUES (1, 0.3), (2, 0.542275), (3, 0.698966), (4, 0.800307), (5, 0.865848)) AS t(hits, c))
 SELECT stream_id, frame_no, CASE WHEN status = 'ok' THEN live END::BIGINT AS n_blobs, CASE WHEN status = 'ok' AND live > 0 THEN 1 END::BIGINT AS first_id, CASE WHEN status = 'ok' AND live > 0 THEN live END::BIGINT AS last_id,
+CASE WHEN shown THEN 4 + (frame_no - 1) * step END AS first_x, CASE WHEN shown THEN 8 END::BIGINT AS first_y, CASE WHEN shown THEN CASE WHEN step = 8 THEN 16 ELSE step END END AS first_w, CASE WHEN shown THEN 8 END::BIGINT AS first_h,
+CASE WHEN shown THEN CASE WHEN step = 8 THEN 4 ELSE 12 END + (frame_no - 1) * step END AS last_x, CASE WHEN shown THEN 8 END::BIGINT AS last_y, CASE WHEN shown THEN CASE WHEN step = 8 THEN 16 ELSE step END END AS last_w, CASE WHEN shown THEN 8 END::BIGINT AS last_h,
+CASE WHEN shown THEN speed END::DOUBLE AS first_vx, CASE WHEN shown THEN speed END::DOUBLE AS last_vx, CASE WHEN shown THEN false END AS first_predicted, CASE WHEN shown THEN k.hits END::BIGINT AS first_age,
+round(CAST(CAST(CASE WHEN status = 'ok' THEN 16 * least(step, 8) ELSE 0 END AS FLOAT) / CAST(width * 24 AS FLOAT) AS DOUBLE), 6) AS changed_fraction,
 round(CAST(CASE WHEN status <> 'ok' THEN 0 WHEN step = 0 THEN 0.6 ELSE c END AS DOUBLE), 4) AS confidence, 'motion' AS source,
 CASE WHEN status <> 'ok' THEN 'Unreliable' WHEN k.hits > 3 THEN 'Corroborated' ELSE 'Heuristic' END AS reliability,
 CASE WHEN status <> 'ok' THEN status WHEN step = 0 THEN 'no motion above threshold' END AS failure_reason, CAST(live AS BIGINT) AS tracked_blobs
@@ -85,7 +92,7 @@ j AS (SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_sp
 SELECT conv_id, turn, regexp_replace(translate(line, '‘’–—' || chr(160), '''''-- '), {_TRIM}, '', 'g') AS line FROM j""",
     "ocr_tsv_words": """SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS text, l_partkey AS x, l_suppkey AS y, CAST(l_linenumber AS BIGINT) AS w, CAST(trunc(l_quantity) AS BIGINT) AS h
 FROM lineitem WHERE l_linenumber NOT IN (3, 4, 5, 6)""",
-    "text_width": "SELECT p_partkey, " + ", ".join(f"CAST(CASE WHEN length(p_name) = 0 THEN 0 ELSE length(p_name) * {6 * s} - {s} END AS BIGINT) AS width_{s}" for s in (1, 2, 3)) + " FROM part",
+    "text_width": "SELECT p_partkey, " + ", ".join(f"CAST(CASE WHEN length(p_name) = 0 THEN 0 ELSE length(p_name) * {6 * s} - {s} END AS BIGINT) AS width_{s}, CAST({7 * s} AS BIGINT) AS height_{s}" for s in (1, 2, 3)) + " FROM part",
     "glyph_pixels": f"""
 WITH glyph(ch, col, bit) AS (VALUES {_GLYPH_ROWS}),
 c AS (SELECT p_partkey, t.i, upper(substr(p_name, CAST(t.i AS INT), 1)) AS ch FROM part, range(1, 40) AS t(i) WHERE t.i <= length(p_name))
@@ -98,3 +105,4 @@ SELECT frame_id, count(*) FILTER (WHERE x >= x0 AND x < x0 + 10 AND y >= y0 AND
     "fps": """WITH a AS (SELECT event_id, sum(value / 1000) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / 4.0 AS v FROM events)
 SELECT event_id, round(CASE WHEN v <= 0 THEN 0.0 ELSE 1.0 / v END, 4) AS fps FROM a""",
 }
+ORACLES = {**_ORACLES, **MORE_ORACLES, "pixel_motion_blobs": _ORACLES["motion_blobs"]}

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from vistalake import model
 from vistalake.functions import color, confidence, glyphs, rect, text, timing
-from vistalake.operators import bars, drawing, motion, quality, regions, runs, tracking
+from vistalake.operators import bars, drawing, motion, packed, quality, regions, runs, tracking
+from vistalake.plans.more_queries import MORE
 from vistalake.sources import rasters
 
 WHOLE = (0, 0, rasters.GAUGE_WIDTH, rasters.GAUGE_HEIGHT)
@@ -91,23 +92,23 @@ def color_regions(spark, sf_dir):
     return regions.find_color_regions(_gauges(spark, sf_dir), WHOLE, RED, MIN_S, MIN_V)
 
 
-def _readings(spark, sf_dir):
-    pixels = _gauges(spark, sf_dir)
-    found = regions.find_color_bar(pixels, WHOLE, RED, MIN_S, MIN_V)
-    wanted = found.withColumns({"sx": F.lit(0), "sw": F.lit(rasters.GAUGE_WIDTH), "width": F.lit(rasters.GAUGE_WIDTH), "height": F.lit(rasters.GAUGE_HEIGHT)})
-    measured = bars.measure_bar_fill(pixels, wanted, color.color_pixel(RED, MIN_S, MIN_V))
-    frames = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame_id"))
-    return frames.join(measured, "frame_id", "left")
-
-
 def bar_fill(spark, sf_dir):
-    """The reading of every gauge as a detection: found bar, learned groove, walked track."""
+    """The reading of every gauge as a detection: found bar, learned groove, walked track; one pass over its frame."""
     at = F.lit(0).cast("long")
-    d = F.when(F.col("fill").isNotNull(), model.found(F.col("fill"), F.lit(0.9), "bar", at=at)).otherwise(model.missing("float", "bar", F.coalesce("failure_reason", F.lit("no bar found")), at=at))
-    read = _readings(spark, sf_dir).select("frame_id", d.alias("d"))
+    read = packed.measure_bars(rasters.gauge_frames(_table(spark, sf_dir, "supplier")), WHOLE, RED, MIN_S, MIN_V)
+    d = F.when(F.col("fill").isNotNull(), model.found(F.col("fill"), F.lit(0.9), "bar", at=at)).otherwise(model.missing("float", "bar", F.col("failure_reason"), at=at))
+    read = read.select("frame_id", d.alias("d"))
     return read.select("frame_id", _double(F.col("d.value")).alias("fill"), _double(F.col("d.confidence")).alias("confidence"), F.col("d.source").alias("source"), F.col("d.reliability").alias("reliability"), F.col("d.failure_reason").alias("failure_reason"), model.is_present(F.col("d")).alias("is_present"))
 
 
+def pixel_bar_fill(spark, sf_dir):
+    """The fill of every gauge's bar by the column operators, for tables of pixels."""
+    pixels = _gauges(spark, sf_dir)
+    found = regions.find_color_bar(pixels, WHOLE, RED, MIN_S, MIN_V)
+    wanted = found.withColumns({"sx": F.lit(0), "sw": F.lit(rasters.GAUGE_WIDTH), "width": F.lit(rasters.GAUGE_WIDTH), "height": F.lit(rasters.GAUGE_HEIGHT)})
+    return bars.measure_bar_fill(pixels, wanted, color.color_pixel(RED, MIN_S, MIN_V)).select("frame_id", _double(F.col("fill")).alias("fill"), "failure_reason")
+
+
 def text_block(spark, sf_dir):
     """The padded box of text-like pixels."""
     return regions.find_text_block(_gauges(spark, sf_dir), WHOLE)
@@ -141,28 +142,38 @@ def blank_frame(spark, sf_dir):
 def text_quality(spark, sf_dir):
     """Sharpness of each gauge frame."""
     found = quality.assess_text_quality(_gauges(spark, sf_dir), WHOLE)
-    return found.select("frame_id", _double(F.col("sharpness")).alias("sharpness"), "edge_samples", "legibility")
+    return found.select("frame_id", _double(F.col("sharpness")).alias("sharpness"), "edge_samples", "legibility", quality.is_legible(F.col("legibility")).alias("is_legible"))
+
+
+def _moving(spark, sf_dir):
+    return rasters.motion_frames(_table(spark, sf_dir, "supplier"))
 
 
 def motion_mask_stats(spark, sf_dir):
     """How much of each frame moved."""
-    found = motion.motion_stats(rasters.motion_sequences(_table(spark, sf_dir, "supplier")))
-    return found.select("stream_id", F.col("frame_no").cast("long").alias("frame_no"), "status", "moved_pixels", _double(F.col("changed_fraction"), 6).alias("changed_fraction"))
+    return packed.motion_of(_moving(spark, sf_dir)).select("stream_id", "frame_no", "status", "moved_pixels", _double(F.col("changed_fraction"), 6).alias("changed_fraction"))
 
 
 def motion_blobs(spark, sf_dir):
     """Moved rectangles of each frame."""
+    return packed.motion_of(_moving(spark, sf_dir)).select("stream_id", "frame_no", F.inline("rects"))
+
+
+def pixel_motion_blobs(spark, sf_dir):
+    """Moved rectangles of each frame by the column operators, for tables of pixels."""
     found = motion.extract_blobs(motion.motion_mask(rasters.motion_sequences(_table(spark, sf_dir, "supplier"))))
     return found.select("stream_id", F.col("frame_no").cast("long").alias("frame_no"), "x", "y", "w", "h")
 
 
 def motion_detect(spark, sf_dir):
-    """Motion detections of each frame, with tracked identities."""
-    found = motion.detect_motion(rasters.motion_sequences(_table(spark, sf_dir, "supplier")))
-    ids = F.transform("blobs", lambda b: b["id"])
+    """Motion detections of each frame, with tracked identities, the boxes and velocities of the first and last blob."""
+    found = packed.detect_motion_frames(_moving(spark, sf_dir))
+    first, last = F.get("blobs", 0), F.get("blobs", F.size("blobs") - 1)
+    box = [blob["bounds"][c].alias(f"{name}_{c}") for name, blob in (("first", first), ("last", last)) for c in "xywh"]
+    speed = [_double(blob["velocity"]["x"]).alias(f"{name}_vx") for name, blob in (("first", first), ("last", last))]
     return found.select(
-        "stream_id", F.col("frame_no").cast("long").alias("frame_no"), F.size("blobs").cast("long").alias("n_blobs"), F.array_min(ids).alias("first_id"), F.array_max(ids).alias("last_id"),
-        _double(F.col("confidence")).alias("confidence"), "source", "reliability", "failure_reason", F.col("tracked_blobs").cast("long").alias("tracked_blobs"),
+        "stream_id", "frame_no", F.size("blobs").cast("long").alias("n_blobs"), first["id"].alias("first_id"), last["id"].alias("last_id"), *box, *speed, first["is_predicted"].alias("first_predicted"), first["age_frames"].alias("first_age"),
+        _double(F.col("confidence")).alias("confidence"), "source", "reliability", "failure_reason", F.col("tracked_blobs").cast("long").alias("tracked_blobs"), _double(F.col("changed_fraction"), 6).alias("changed_fraction"),
     )
 
 
@@ -185,8 +196,9 @@ def ocr_tsv_words(spark, sf_dir):
 
 
 def text_width(spark, sf_dir):
-    """Pixel widths of part names at three scales."""
-    return _table(spark, sf_dir, "part").select("p_partkey", *(glyphs.text_width(F.col("p_name"), s).alias(f"width_{s}") for s in (1, 2, 3)))
+    """Pixel widths and heights of part names at three scales."""
+    sizes = [c for s in (1, 2, 3) for c in (glyphs.text_width(F.col("p_name"), s).alias(f"width_{s}"), F.lit(glyphs.text_height(s)).cast("long").alias(f"height_{s}"))]
+    return _table(spark, sf_dir, "part").select("p_partkey", *sizes)
 
 
 def glyph_pixels(spark, sf_dir):
@@ -218,8 +230,8 @@ def fps(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        confidence_fold, hsv_convert, pixel_tests, color_pixel_count, text_pixel_count, row_runs, region_rects, color_bar, color_regions, bar_fill, text_block, text_block_in_regions,
-        dominant_bucket, uniform_panel, blank_frame, text_quality, motion_mask_stats, motion_blobs, motion_detect, tracks, normalize_text, ocr_tsv_words, text_width, glyph_pixels,
-        overlay_rect, moving_average, fps,
+        confidence_fold, hsv_convert, pixel_tests, color_pixel_count, text_pixel_count, row_runs, region_rects, color_bar, color_regions, bar_fill, pixel_bar_fill, text_block, text_block_in_regions,
+        dominant_bucket, uniform_panel, blank_frame, text_quality, motion_mask_stats, motion_blobs, pixel_motion_blobs, motion_detect, tracks, normalize_text, ocr_tsv_words, text_width, glyph_pixels,
+        overlay_rect, moving_average, fps, *MORE,
     )
 }

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vistalake.operators.packed import packed_frames
+
 GAUGE_WIDTH, GAUGE_HEIGHT = 96, 32
 TRACK_X, TRACK_Y, TRACK_W, TRACK_H = 8, 20, 64, 8
 BACKGROUND, FILL = (28, 30, 34), (210, 40, 40)
@@ -28,9 +31,10 @@ def _places(rows: DataFrame, width: Column | int, height: int) -> DataFrame:
 def _dealt(rows: DataFrame, key: str) -> DataFrame:
     """Narrow rows dealt by frame before they grow to pixels: later groupings by frame then need no exchange.
 
-    A fixed number of partitions, since by their size now they would be merged into one.
+    The session's number of partitions is given, since by their size now they would be merged into one.
     """
-    return rows.repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism), key)
+    session = rows.sparkSession
+    return rows.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism), key)
 
 
 def _drawn(cells: DataFrame, keys: list[str], r: Column, g: Column, b: Column) -> DataFrame:
@@ -49,6 +53,24 @@ def gauges(supplier: DataFrame) -> DataFrame:
     return _drawn(cells, ["frame_id"], shade(0), shade(1), shade(2))
 
 
+def _canvas(width: int, height: int, colour: tuple[int, int, int]) -> np.ndarray:
+    return np.tile(np.array([*colour, 255], dtype=np.uint8), (height, width, 1))
+
+
+def gauge_image(frame_id: int, fill: int) -> np.ndarray:
+    image = _canvas(GAUGE_WIDTH, GAUGE_HEIGHT, BACKGROUND)
+    track = image[TRACK_Y : TRACK_Y + TRACK_H, TRACK_X : TRACK_X + TRACK_W, :3]
+    track[:] = GROOVES[frame_id % 3]
+    track[:, :fill] = FILL
+    return image
+
+
+def gauge_frames(supplier: DataFrame) -> DataFrame:
+    """The gauges as packed frames."""
+    rows = supplier.select(F.col("s_suppkey").cast("long").alias("frame_id"), fill_px(F.col("s_suppkey"), F.col("s_acctbal")).alias("fill_px"))
+    return packed_frames(rows, gauge_image, ["frame_id", "fill_px"], ["frame_id"])
+
+
 def step_of(suppkey: Column) -> Column:
     return F.when(suppkey % 7 == 0, 0).otherwise(suppkey % 5 + 4).cast("int")
 
@@ -65,6 +87,20 @@ def motion_sequences(supplier: DataFrame) -> DataFrame:
     return _drawn(cells, ["stream_id", "frame_no"], v, v, v)
 
 
+def motion_image(stream_id: int, frame_no: int, step: int) -> np.ndarray:
+    image = _canvas(MOTION_WIDTH - (stream_id % 11 == 5 and frame_no == 3), MOTION_HEIGHT, (20, 20, 20))
+    left = 4 + frame_no * step
+    image[8 : 8 + SQUARE, left : left + SQUARE, :3] = 230
+    return image
+
+
+def motion_frames(supplier: DataFrame) -> DataFrame:
+    """The moving squares as packed frames."""
+    key = F.col("s_suppkey").cast("long")
+    rows = supplier.select(key.alias("stream_id"), step_of(F.col("s_suppkey")).alias("step"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MOTION_FRAMES - 1).cast("long"))).alias("frame_no"))
+    return packed_frames(rows, motion_image, ["stream_id", "frame_no", "step"], ["stream_id", "frame_no"])
+
+
 def event_detections(events: DataFrame) -> DataFrame:
     """Detections from events: a stream for each user, a frame for each day, in order of the event's id."""
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from vistalake.functions.arrays import frame_array
 from vistalake.model import TRACK
-from vistalake.operators.motion import SOURCE, MotionConfig, WARMING_UP, RESIZED, detect_schema, frame_array, judge, packed_blobs, packed_mask
+from vistalake.operators.motion import SOURCE, MotionConfig, WARMING_UP, RESIZED, detect_schema, judge, packed_blobs, packed_mask
 from vistalake.operators.tracking import Tracker, track_struct
 
 _MOTION_STATE = "frame_no long, width int, height int, data binary, tracker string"

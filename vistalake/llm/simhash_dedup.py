@@ -36,6 +36,8 @@ SKETCH_BITS = 8192
 SAMPLED, COMMON = 10_000, 500_000
 #: Rows of a bucket that are compared in one go; larger buckets are cut into tiles of pairs of chunks.
 BUCKET_ROWS = 6000
+#: Rows of a tile that proposes every pair that may be similar at once.
+FEW = 8
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None]) & 1).astype(np.float64)
 _BYTE = (np.arange(8) * 256)[None]
 
@@ -185,12 +187,12 @@ def key_plan(distinct: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]
     return [[(cuts[i], cuts[i + 1] - cuts[i]) for i in chosen] for chosen in combinations(range(blocks), extra)]
 
 
-def sampled_keys(distinct: DataFrame, tables: int = 16, seed: int = 9) -> DataFrame:
+def sampled_keys(distinct: DataFrame, tables: int = 8, seed: int = 9) -> DataFrame:
     """``rep``, the compared words and each bucket ``key`` of wide fingerprints.
 
     For similarities whose distances no short list of exact keys reaches. Each key is a sample of four nibbles of the
     48 in ``w1`` to ``w3``. Shingle sets with a similarity of 0.8 differ in about 15 % of the bits, so a pair shares a
-    given key with probability 0.85**16 = 0.074. The keys are the same at every size; long buckets are tiled.
+    given key with probability 0.85**16 = 0.074; at 0.95, 4 % of the bits, with 0.52. The keys are the same at every size; long buckets are tiled.
     """
     width = 4
     rng = np.random.default_rng(seed)
@@ -301,15 +303,14 @@ def _link_batches(radius: int):
         found = bucket_links(group[at], fps, radius, points, levels) if len(at) else []
         return [rep[at[i]] for i, _ in found], [rep[at[j]] for _, j in found]
 
-    return _by_bucket(flush)
+    return _by_bucket(flush, ["u", "v"])
 
 
-def _by_bucket(flush):
-    """Hands whole buckets (rows sorted by ``key, tile``) to ``flush``, which returns pairs."""
+def _by_bucket(flush, names: list[str]):
+    """Hands whole buckets (rows sorted by ``key, tile``) to ``flush``, which returns columns."""
 
     def pairs(held):
-        u, v = flush(*held)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in flush(*held)], names)
 
     def run(batches):
         lean_worker()
@@ -428,27 +429,61 @@ def plausible_links(pairs: DataFrame, distinct: DataFrame, similarity: float) ->
     return both.select("u", "v", "n", "m", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def small_tile_proposals(group: np.ndarray, part: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of rows of one group (of a few rows) and two parts that may be similar, many groups at once."""
+    left, share, differ = n - pos, similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, int(np.bincount(group).max(initial=1))):
+        a = np.nonzero(group[:-d] == group[d:])[0]
+        a = a[(part[a] != part[a + d]) & (np.minimum(left[a], left[a + d]) >= share * (n[a] + n[a + d]) - 1e-6)]
+        a = a[np.minimum(n[a], n[a + d]) >= similarity * np.maximum(n[a], n[a + d]) - 1e-6]
+        i.append(a)
+        j.append(a + d)
+    i, j = np.concatenate(i), np.concatenate(j)
+    i, j = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
+    width = np.array([len(x) for x in sketches], dtype=np.int64)
+    near = np.zeros(len(i), dtype=bool)
+    table = lambda rows: np.frombuffer(b"".join([sketches[k] for k in rows]), dtype=np.uint64).reshape(len(rows), -1)
+    for narrow, wide in np.unique(np.stack([width[i], width[j]]), axis=1).T.tolist():
+        for at in np.array_split(k := np.nonzero((width[i] == narrow) & (width[j] == wide))[0], len(k) // 8192 + 1):
+            a, b = table(i[at].tolist()), table(j[at].tolist())
+            while b.shape[1] > a.shape[1]:
+                b = _folded(b)
+            near[at] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= differ * (n[i[at]] + n[j[at]]) + 1e-6
+    return i[near], j[near]
+
+
 def _proposal_batches(similarity: float, every: bool):
-    def flush(key, tile, rep, mine, part, n, pos, sketch):
-        group = _numbered(key, tile)
-        cuts = np.nonzero(np.diff(group, prepend=group[0] - 1, append=group[-1] + 1))[0]
-        pairs: set[tuple[int, int]] = set()
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            for i, j in tile_proposals(mine[a:b], part[a:b], n[a:b], pos[a:b], sketch[a:b], similarity, every):
-                u, v = int(rep[a + i]), int(rep[a + j])
-                pairs.add((min(u, v), max(u, v)))
-        return list(zip(*pairs)) or ([], [])
+    """Pairs ``u, v`` with the bucket and tile (``key``, ``tile``) of those that are a forest's, and null otherwise."""
 
-    return _by_bucket(flush)
+    def flush(key, tile, rep, mine, part, n, pos, sketch):
+        group = _numbered(key, tile) - 1
+        size = np.bincount(group)
+        few = np.nonzero(size[group] <= FEW)[0]
+        i, j = small_tile_proposals(group[few], part[few], n[few], pos[few], [sketch[k] for k in few.tolist()], similarity)
+        out = [np.unique(np.sort(np.stack([rep[few[i]], rep[few[j]]]), axis=0), axis=1)]
+        marks = [np.full((2, out[0].shape[1]), -1)]
+        starts = np.cumsum(size) - size
+        for g in np.nonzero(size > FEW)[0].tolist():
+            a, b = int(starts[g]), int(starts[g] + size[g])
+            found = np.array(tile_proposals(mine[a:b], part[a:b], n[a:b], pos[a:b], sketch[a:b], similarity, every), dtype=np.int64).reshape(-1, 2).T + a
+            out.append(np.sort(rep[found], axis=0))
+            marks.append(np.repeat([[key[a]], [tile[a]]], found.shape[1], axis=1))
+        pairs, where = np.concatenate(out, axis=1), np.concatenate(marks, axis=1)
+        none = np.arange(pairs.shape[1]) < out[0].shape[1]
+        return [pa.array(pairs[0]), pa.array(pairs[1]), pa.array(where[0], mask=none), pa.array(where[1], mask=none)]
+
+    return _by_bucket(flush, ["u", "v", "key", "tile"])
 
 
 def remaining_links(documents: DataFrame, distinct: DataFrame, found: DataFrame, size: int, similarity: float) -> DataFrame:
     """``found``, verified links, with enough more to connect all similar pairs of ``distinct``.
 
     Exact: similar sets share a shingle of their prefixes, so they meet in its bucket, and neither bound of
-    ``tile_proposals`` refuses them. Buckets whose rows verified links already join are left out. Each of the others
-    proposes a forest. Where the exact similarity refuses some of these links, the second round proposes every pair
-    that is still apart and may be similar: only pairs with a similarity just below the wanted one are in vain.
+    ``tile_proposals`` refuses them. Buckets whose rows verified links already join are left out. Of the others those
+    of a few rows propose every pair that may be similar, the larger ones a forest. Where the exact similarity refuses
+    a link of a forest, a second round proposes every pair of that tile that is still apart and may be similar: only
+    pairs with a similarity just below the wanted one are in vain.
     """
     nodes = _parted(distinct.select("rep", "n", "prefix"), found)
     rows = nodes.select("rep", "n", "part", F.posexplode("prefix").alias("pos", "key")).withColumn("pos", F.col("pos").cast("long"))
@@ -461,19 +496,20 @@ def remaining_links(documents: DataFrame, distinct: DataFrame, found: DataFrame,
     sketches = distinct.select("rep", "sketch")
     for every in (False, True):
         left = keyed.join(sketches, "rep").select("key", "tile", "rep", "mine", "part", "n", "pos", "sketch")
-        pairs = left.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_proposal_batches(similarity, every), "u long, v long")
-        pairs = materialize(pairs.distinct(), "candidates")
+        proposed = left.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_proposal_batches(similarity, every), "u long, v long, key long, tile long")
+        proposed = materialize(proposed, "proposed")
+        pairs = materialize(proposed.select("u", "v").distinct(), "candidates")
         similar = verified_links(documents, pairs, size, similarity)
         found = found.unionByName(similar)
-        refused = pairs.count() - similar.count()
-        release(pairs)
-        if every or not refused:
-            release(keyed)
-            return found
-        parted = _parted(keyed.drop("part"), found)
-        still = parted.groupBy("key", "tile").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key", "tile")
-        old, keyed = keyed, materialize(parted.join(still, ["key", "tile"]), "buckets")
-        release(old, parted)
+        # A tile whose forest was verified is done: what the forest left out is joined by its links.
+        refused = proposed.where("key IS NOT NULL").join(similar, ["u", "v"], "left_anti").select("key", "tile").distinct()
+        refused = None if every else materialize(refused, "refused-tiles")
+        if every or not refused.limit(1).count():
+            break
+        again = keyed.join(broadcast_small(refused, BROADCAST_KEYS), ["key", "tile"], "left_semi").drop("part")
+        release(proposed, pairs)
+        old, keyed = keyed, _parted(again, found)
+        release(old)
     return found
 
 

@@ -28,13 +28,29 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def own_names():
+    """Every name that an operator gives a column: what the code passes to fresh_name, alias and withColumn."""
+    import pathlib
+    import re
+
+    from vistalake import llm
+
+    found = {"fp", "rid", "pos", "key", "h1", "n", "u", "v", "rep", "line_rid_r", "shard_o", "bucket_number_o"}
+    for file in pathlib.Path(llm.__file__).parent.glob("*.py"):
+        text = file.read_text()
+        for call in re.findall(r"fresh_name\(\w+(?:\.columns)?, (?:\"(\w+)\"|x\) for x in \(([^)]*)\))", text):
+            found.update(re.findall(r"\w+", " ".join(call)))
+        found.update(re.findall(r"(?:alias|withColumn|withColumnRenamed)\(\"(\w+)\"", text))
+    return found
+
+
 @pytest.fixture(scope="session")
 def clash(edge):
     """More columns, with names that operators might use themselves."""
     from pyspark.sql import functions as F
 
     out = edge
-    for c in ("fp", "rid", "pos", "shard", "slot", "score", "keep_flag", "clean_flag", "lost_id", "line_rid", "line_gone", "line_text", "line_doc", "bucket_number", "row_order", "bucket_place", "key", "h1"):
+    for c in sorted(own_names() - {"text", "doc_id", "lang", "source", "n_chars", "toxic"}):
         out = out.withColumn(c, F.lit(1))
     return out
 

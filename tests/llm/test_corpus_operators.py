@@ -531,13 +531,97 @@ def test_pipeline_stages(spark, edge, none, clash, sample):
 
     sf_dir = "/root/testdata/sf0.001"
     for docs in (edge, none, clash):
-        for name, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, docs, sf_dir).columns == docs.columns
-            stage(spark, docs, sf_dir).collect()
-    out = corpus_pipeline.run(spark, sf_dir).collect()
-    docs = {r.doc_id: r for r in sample.collect()}
-    kept = {r.doc_id for r in out}
-    assert 0.7 * len(docs) < len(kept) < len(docs)
-    texts = Counter(r.text for r in docs.values())
-    for text in (t for t, n in texts.items() if n > 1):
-        assert sum(docs[i].text == text for i in kept) <= 1
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, docs, sf_dir)
+            if name == "packing":
+                assert Counter(r.doc_id for r in found.where("piece = 0").collect()) == Counter(r.doc_id for r in docs.collect())
+            else:
+                assert found.columns == docs.columns and found.count() <= docs.count()
+
+
+def test_pipeline_on_no_documents(spark, tmp_path, none):
+    import corpus_pipeline
+
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All five stages against plain versions of them; the language model is the only one shared."""
+    import corpus_pipeline
+    from vistalake.llm import language_id
+
+    rng = random.Random(31)
+    spoken = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(300)] for lang, letters in (("en", "thersandoi"), ("de", "chungelzvw"), ("fr", "quxéabmpjo"))}
+    say = lambda lang, n: " ".join(rng.choice(spoken[lang]) for _ in range(n))
+    shared = [say("en", 9) for _ in range(4)]
+    items = [(k, say("en", n)) for k, n in enumerate((12, 30, 4))]
+    texts = [(say(lang, rng.randint(60, 160)), lang) for lang in ("en", "de", "fr") for _ in range(45)]
+    template = say("en", 250)
+    for _ in range(20):  # pages of one template: pairs of them are similar enough, others just aren't
+        mine = say("en", 26)
+        texts += [(f"{template} {mine} {say('en', 10)}", "en") for _ in range(2)]
+    texts += [(f"{say('en', 70)} {items[k][1]} {say('en', 40)}", "en") for k in (0, 1, 1)]
+    texts += [(f"{say('en', 80)} {' '.join([say('en', 30)] * n)}", "en") for n in (1, 6)] + [(texts[3][0], "en"), (texts[4][0].upper(), None)]
+    rows = []
+    for i, (text, lang) in enumerate(texts):
+        lines = text.split(" ", 20)
+        if i % 3 == 0:
+            text = "\n".join([" ".join(lines[:10]), f" {shared[i % 4]}", " ".join(lines[10:])])
+        rows.append((i, text, lang if i % 7 else None, f"site{i % 23}", len(text)))
+    rows += [(1000, None, "en", "site1", 0), (1001, "", "en", "site2", 0), (1002, "12 345 --- 678", None, None, 14), (1003, "===  ===", "de", "site3", 8)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    # 1. Documents with a language.
+    named, sure = language_id.score(language_id.train(docs), [r[1] for r in rows])
+    kept = [r for r, lang, s in zip(rows, named, sure) if lang != "und" and s >= corpus_pipeline.LANGUAGE_FLOOR]
+    assert len(kept) == len(rows) - 4
+    # 2. Lines of ten sites or more stay where they are first.
+    texts = brute_lines(kept, line_dedup.MIN_SITES)
+    assert sum(texts[r[0]] != r[1] for r in kept) > 30
+    # 3. One of each group of similar texts.
+    ids = [r[0] for r in kept]
+    group = brute_similar([texts[i] for i in ids])
+    stay = [i for k, i in enumerate(ids) if group[k] == k]
+    assert len(ids) - len(stay) >= 20
+    # 4. No window of a benchmark item.
+    clean = [i for i in stay if not any(brute_window(texts[i], item) >= 0.8 for _, item in items)]
+    assert len(stay) - len(clean) == 3
+    # 5. All pieces, in sequences that hold them without gaps.
+    encoder = packing.Encoder(packing.tokenizer_path())
+    want = Counter((i, *p) for i in clean for p in packing.pieces_of(encoder.encode([texts[i]])[0]))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    fill: dict = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) * 1.1 + 1
+    # On the driver's table exact copies are dropped and most documents stay.
+    if __import__("os").path.isdir("/root/testdata/sf0.001"):
+        docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+        kept = {r.doc_id for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
+        assert 0.7 * len(docs) < len(kept) < len(docs)
+        assert all(sum(docs[i] == text for i in kept) <= 1 for text, n in Counter(docs.values()).items() if n > 1)
+
+
+def test_scratch_is_deleted(spark, sample):
+    """Only what a result reads is left when an operator has returned."""
+    from vistalake.llm import common
+
+    made = []
+    path = common.scratch_path
+
+    def watched(session, label):
+        made.append(path(session, label))
+        return made[-1]
+
+    import unittest.mock
+
+    with unittest.mock.patch.object(common, "scratch_path", watched):
+        result = simhash_dedup.similar_documents(sample)
+    left = [p for p in made if common._file_system(spark, p)[0].exists(common._file_system(spark, p)[1])]
+    assert len(made) > 10 and left == [result.scratch] and result.count() == sample.count()

@@ -2,15 +2,18 @@
 
 ``base_spans`` finds e-mail addresses, IP addresses, card numbers and phone numbers by rule. The CRF adds spans of
 ``secret``, ``person`` and ``national_id``. It is trained by gradient ascent on the small labelled table that
-``labelled_table`` builds, over word-shape and cue-word features of a token and its two neighbours, and decoded by
-Viterbi in numpy batches. Tokens are what single spaces and line ends separate, so offsets follow from lengths.
-
-Decoding is confined to windows around tokens with evidence: by the bound in ``_evidence`` every best path's run of
-entity labels holds such a token, so text without one is decoded as all outside without running Viterbi. A window is
-decoded whole, however long (seven bytes of back pointers a token).
-
-Defined cases: a null text counts as empty and has no spans; repeated rows get equal results; offsets are code
-points, end exclusive; an empty table gives an empty result; extra columns are ignored.
+``labelled_table`` builds, over word-shape and cue-word features of a token and its two neighbours and of what stands
+before it, and decoded by Viterbi in numpy batches. Tokens are what white space, quotes, brackets, ``=``, ``:`` and
+``|`` separate.
+
+Decoding is confined to windows around tokens with evidence: by the bound in ``_windows`` every best path's run of
+entity labels holds such a token, so text without one is decoded as all outside without running Viterbi. A window
+whose path has an entity near an end that isn't the line's is widened and decoded again. A window is decoded whole,
+however long (seven bytes of back pointers a token).
+
+Defined cases: a null text counts as empty and has no spans; a very long text or line is decoded whole; repeated rows
+get equal results; where spans start together, the kind listed first comes first; offsets are code points, end
+exclusive; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,6 +108,7 @@ CUES = {
 }
 _CUE = {w: f"{kind}:{w}" if kind == "glue" else kind for kind, ws in CUES.items() for w in ws}
 _EDGE = "\"'`.,;:!?()[]{}<>*$%&#|"
+_GAPS = re.compile(r"""([\s=:"'`()\[\]{}<>|]+)""")
 
 
 class _Shapes(dict):
@@ -120,27 +124,52 @@ class _Shapes(dict):
 
 _SHAPES = _Shapes()
 _HEX = re.compile(r"[0-9a-fA-F]+")
+_LONG = 12
+
+
+def gap_kind(gap: str) -> str:
+    """What stands before a token: a space, or an equals sign, colon, bar, bracket, quote or other white space."""
+    if gap == " ":
+        return ""
+    mark = next((c for c in "=:|" if c in gap), "")
+    return mark + ("q" if any(c in gap for c in "\"'`") else "b" if any(c in gap for c in "()[]{}<>") else "" if mark else "t")
+
 
+def token_key(token: str, gap: str = "") -> str:
+    """What the features see of a token and the kind of gap before it; few keys, many tokens."""
+    return f"{gap}\0{_word_key(token)}"
 
-def token_key(token: str) -> str:
-    """What the features see of a token; few keys, many tokens."""
-    if token.isalpha() and token.islower() and token not in _CUE:
+
+def _word_key(token: str) -> str:
+    if token.isalpha() and token.islower() and token not in _CUE and len(token) <= 20:
         return "aaaaaaaaaaaa"[: len(token)]
     core = token.strip(_EDGE)
     cue = _CUE.get(core.lower()) or _CUE.get(token.lower())
     if cue:
-        return f"cue {cue} {'T' if core[:1].isupper() else 't'}{':' if token[-1:] in ':=' else ''}"
-    if len(core) >= 16 and _HEX.fullmatch(core) and not core.isdigit() and not core.isalpha():
-        return f"hex {len(core) // 8} {'q' if token[:1] in chr(34) + chr(39) else ''}"
-    shape = token[:200].translate(_SHAPES)
-    return f"s {re.sub(r'a{3,}', 'aaa', re.sub(r'0{5,}', '00000', re.sub(r'A{3,}', 'AAA', shape)))[:40]}"
+        return f"cue {cue} {'T' if core[:1].isupper() else 't'}"
+    if len(core) >= 16 and _HEX.fullmatch(core) and not core.isdigit():
+        return f"hex {len(core) // 8} {'w' if core.isalpha() else 'm'}"
+    shape = core.translate(_SHAPES)
+    kinds = "".join(k for k in "0aA" if k in shape)
+    if len(core) >= _LONG and not core.isalpha() and not core.isdigit():
+        turns = sum(x != y for x, y in zip(shape, shape[1:]))
+        other = len(core) - sum(map(shape.count, "0aA"))
+        return f"long {min(len(core) // 8, 8)} {kinds} {min(4 * turns // len(core), 3)} {min(other, 3)}"
+    short = re.sub(r"a{3,}", "aaa", re.sub(r"0{5,}", "00000", re.sub(r"A{3,}", "AAA", shape)))
+    return f"s {short if len(short) <= 2 * _LONG else kinds} {token[-1:] if token[-1:] in _EDGE else ''}"
 
 
 def features(key: str) -> list[str]:
-    if key.startswith("cue ") or key.startswith("hex "):
-        return [key, key[:5].strip(), " ".join(key.split(" ")[:2])]
-    shape = key[2:] if key.startswith("s ") else key
-    bare = shape.strip(_EDGE)
+    gap, key = key.split("\0", 1)
+    before = [f"gap={gap}"] if gap else []
+    if key.startswith(("cue ", "hex ", "long ")):
+        parts = key.split(" ")
+        out = [key, parts[0], " ".join(parts[:2])]
+        return [*out, *before, *(f"{gap} {parts[0]}" for _ in before)]
+    if key.startswith("s "):
+        bare, last = key[2:].rsplit(" ", 1)
+    else:
+        bare, last = key, ""
     out = [f"shape={re.sub(r'(.)\1+', r'\1+', bare)}", f"len={min(len(bare), 12)}"]
     if bare[:1] == "A":
         out.append("title" if "A" not in bare[1:] else "upper")
@@ -150,11 +179,11 @@ def features(key: str) -> list[str]:
             out.append("mixed")
     if bare.count("-") == 2:
         out.append("two-hyphens")
-    if shape[-1:] in ".!?,;:":
-        out.append(f"ends{shape[-1:]}")
+    if last and last in ".!?,;":
+        out.append(f"ends{last}")
     if not bare:
         out.append("no-core")
-    return out
+    return out + before
 
 
 # ---------------------------------------------------------------- the labelled table
@@ -164,7 +193,10 @@ FAMILY = "Smith Keller Moreau García Brown Weber Dubois López Taylor Fischer B
 
 
 def labelled_table(seed: int = 7, copies: int = 60) -> list[list[tuple[str, str]]]:
-    """Sentences of (token, label), built from templates with seeded fillers."""
+    """Sentences of (piece, label), built from templates with seeded fillers.
+
+    A piece is text with what may follow it; a labelled piece without space at its end is set apart by one.
+    """
     rng = random.Random(seed)
     pieces = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
 
@@ -181,41 +213,94 @@ def labelled_table(seed: int = 7, copies: int = 60) -> list[list[tuple[str, str]
             out.append((w, "O"))
         return out
 
-    def hexes(n: int) -> str:
-        return "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + rng.choice(["a1", "7f"])
-
-    def digits(n: int) -> str:
-        return "".join(rng.choice("0123456789") for _ in range(n))
+    def chars(alphabet: str, n: int) -> str:
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    digits = lambda n: chars("0123456789", n)
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    every = low + up + "0123456789"
+
+    def value() -> str:
+        made = rng.randrange(8)
+        if made < 3:
+            return chars("0123456789abcdef", rng.choice([24, 32, 40, 40, 48, 64]))
+        if made == 3:
+            return chars("abcdef", rng.choice([16, 24, 32, 40]))
+        if made == 4:
+            return rng.choice(["sk-", "pk_live_", "ghp_", "xoxb-", ""]) + chars(every, rng.randint(20, 40))
+        if made == 5:
+            return chars(up + "0123456789", rng.randint(16, 24))
+        if made == 6:
+            return chars(every + "+/", rng.randint(24, 44)) + rng.choice(["", "=", "=="])
+        return chars(low, 4) + rng.choice("@!#_-") + chars(every, rng.randint(6, 12)) + digits(2)
 
     def secret() -> list[tuple[str, str]]:
-        cue = rng.choice(["token", "secret", "password", "api_key", "key", "Token", "bearer"])
-        value = hexes(rng.choice([24, 32, 40, 40, 48]))
-        mark = rng.choice(["=", ":", "is"])
-        quoted = f'"{value}"' + rng.choice(["", "", ".", ",", "***"]) if rng.random() < 0.7 else value
-        return [(cue, "O"), (mark, "O"), (quoted, "B-secret")]
+        cue = rng.choice(["token", "secret", "password", "api_key", "key", "Token", "bearer", "Password", "SECRET", "apikey", "access_key", "credential"])
+        quote = rng.choice(['"', "'", "", ""])
+        mark = rng.choice([" = ", "=", ": ", ":", " is ", " ", "\t", '": '])
+        return [(f"{cue}{mark}", "O"), (f"{quote}{value()}{quote}" + rng.choice(["", "", ".", ",", ";", "***"]), "B-secret")]
 
     def person() -> list[tuple[str, str]]:
-        full = [(rng.choice(GIVEN), "B-person"), (rng.choice(FAMILY) + rng.choice(["", "", ",", "."]), "I-person")]
-        lead = rng.choice([["Mr."], ["Mrs."], ["Dr."], ["Herr"], ["Frau"], ["Señora"], ["Madame"], ["name:"], ["contact:"], ["signed:"]])
-        return [(w, "O") for w in lead] + full
+        lead = rng.choice(["Mr. ", "Mrs. ", "Dr. ", "Herr ", "Frau ", "Señora ", "Madame ", "name: ", "contact: ", "signed: ", "name=", "Contact: ", "Author: ", "name\t", "Prof. "])
+        given = [(rng.choice(GIVEN) + " ", "B-person"), *((rng.choice(GIVEN) + " ", "I-person") for _ in range(rng.choice([0, 0, 1])))]
+        return [(lead, "O"), *given, (rng.choice(FAMILY) + rng.choice(["", "", ",", ".", ";"]), "I-person")]
 
     def national() -> list[tuple[str, str]]:
-        lead = rng.choice([["SSN"], ["SSN:"], ["social", "number"], ["ssn", "is"]])
-        return [(w, "O") for w in lead] + [(f"{digits(3)}-{digits(2)}-{digits(4)}" + rng.choice(["", ".", ","]), "B-national_id")]
+        lead = rng.choice(["SSN ", "SSN: ", "social number ", "ssn is ", "SSN=", "ssn\t", "insurance number: "])
+        return [(lead, "O"), (f"{digits(3)}-{digits(2)}-{digits(4)}" + rng.choice(["", ".", ","]), "B-national_id")]
 
     def other() -> list[tuple[str, str]]:
         pair = f"{word().capitalize()} {word().capitalize()}"
-        made = rng.choice([f"is {pair}", f"of {pair}.", f"my name {word().capitalize()}. {pair}", pair, f"{word().capitalize()}. {pair},", digits(16), digits(4), f"{digits(3)}.{digits(2)}.{digits(1)}.{digits(3)}", f"user{digits(2)}@mail.example.com", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}", "the name of", "no key", "the number is", "Licensed under the MIT License."])
-        return [(w, "O") for w in made.split(" ")]
+        again = word().capitalize()
+        plain = [
+            " ".join([again] * rng.randint(4, 12)), " ".join(word().capitalize() for _ in range(rng.randint(3, 8))),
+            f"is {pair}", f"of {pair}.", f"my name {word().capitalize()}. {pair}", pair, f"{word().capitalize()}. {pair},", f"{word()}: {word()} {word()}", f"{word().capitalize()}: {word()}",
+            digits(16), digits(4), f"{digits(3)}.{digits(2)}.{digits(1)}.{digits(3)}", f"user{digits(2)}@mail.example.com", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}",
+            "the name of", "no key", "the number is", "Licensed under the MIT License.", f"http://www.{word()}.com/{word()}/{word()}-{word()}.html?id={digits(6)}", f"version={digits(1)}.{digits(2)}.{digits(1)}", f"{word()}({word()}, {word()})",
+            f"the key is {word()}", f"token {word()}", f"password: {word()}", f"{word()}-{word()}-{word()}-{word()}", f"{word()}={word()}", f'"{word()}": "{word()} {word()}"', f"{word()}_{word()}_{word()}", chars(low, rng.randint(12, 30)), f"{word()}*** {word()}### {word()}$$$ {word()}%%%",
+        ]
+        return [(w, "O") for w in re.findall(r"\S+\s*", rng.choice(plain))]
 
     table: list[list[tuple[str, str]]] = []
     for _ in range(copies):
-        for kind in (secret, person, national, other, other):
+        for kind in (secret, secret, person, national, other, other, other):
             table.append(prose(rng.randint(1, 6)) + kind() + prose(rng.randint(0, 5)))
         table.append(prose(rng.randint(6, 14)))
     return table
 
 
+def sentence(row: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text of a row of the table and its (start, end, label) pieces, without what the tokens leave out."""
+    text, pieces = "", []
+    for piece, label in row:
+        if text and text[-1] not in " \t=:":
+            text += " "
+        if label != "O":
+            bare = piece.strip().strip("\"'")
+            at = len(text) + piece.index(bare)
+            pieces.append((at, at + len(bare), label))
+        text += piece
+    return text, pieces
+
+
+def tokens_of(line: str) -> tuple[list[str], list[str]]:
+    """The tokens of a line, empty ones too, and the gap before each (a space before the first)."""
+    parts = _GAPS.split(line)
+    return parts[0::2], [" ", *parts[1::2]]
+
+
+def token_labels(row: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(key, label) of the tokens of a row of the table; of a piece of several tokens the later ones continue it."""
+    text, pieces = sentence(row)
+    out, at = [], 0
+    for token, gap in zip(*tokens_of(text)):
+        at += len(gap) if out else 0
+        label = next((x if at == s or x[0] == "I" else f"I{x[1:]}" for s, e, x in pieces if s <= at < e and token), "O")
+        out.append((token_key(token, gap_kind(gap)), label))
+        at += len(token)
+    return out
+
+
 # ---------------------------------------------------------------- the model
 
 
@@ -251,17 +336,22 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def train(rows: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.15, ridge: float = 2e-3) -> Crf:
     """Maximum likelihood with a ridge penalty by Adam; forward-backward over all sentences at once, padded."""
-    names = sorted({f for row in rows for token, _ in row for f in features(token_key(token))})
-    index = {f: i for i, f in enumerate(names)}
+    rows = [token_labels(row) for row in rows]
+    keys = sorted({key for row in rows for key, _ in row})
+    names = sorted({f for key in keys for f in features(key)})
+    index, number = {f: i for i, f in enumerate(names)}, {key: i for i, key in enumerate(keys)}
     n, t, k, m = len(rows), max(map(len, rows)), len(LABELS), len(names)
-    x = np.zeros((n, t + 2, m), dtype=np.float32)
+    has = np.zeros((len(keys) + 1, m))  # which key has which features; the last row is of no token
+    for key, i in number.items():
+        for f in features(key):
+            has[i, index[f]] += 1
+    x = np.full((n, t + 2), len(keys))
     y = np.zeros((n, t), dtype=np.int64)
     on = np.zeros((n, t), dtype=bool)
     for i, row in enumerate(rows):
-        for j, (token, label) in enumerate(row):
-            for f in features(token_key(token)):
-                x[i, j + 1, index[f]] += 1
-            y[i, j], on[i, j] = LABELS.index(label), True
+        for j, (key, label) in enumerate(row):
+            x[i, j + 1], y[i, j], on[i, j] = number[key], LABELS.index(label), True
+    places = {"own": x[:, 1:-1], "before": x[:, :-2], "after": x[:, 2:]}
     barred = _allowed()
     start_barred = np.array([-1e4 if s.startswith("I-") else 0.0 for s in LABELS])
     params = {"own": np.zeros((m, k)), "before": np.zeros((m, k)), "after": np.zeros((m, k)), "step": np.zeros((k, k)), "first": np.zeros(k)}
@@ -271,7 +361,7 @@ def train(rows: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.
     both = on[:, 1:] & on[:, :-1]
     gold_steps = np.einsum("ntk,ntl->kl", gold[:, :-1] * both[:, :, None], gold[:, 1:])
     for r in range(1, rounds + 1):
-        e = x[:, 1:-1] @ params["own"] + x[:, :-2] @ params["before"] + x[:, 2:] @ params["after"]
+        e = sum((has @ params[p])[at] for p, at in places.items())
         step = params["step"] + barred
         a = np.zeros((n, t, k))
         a[:, 0] = e[:, 0] + params["first"] + start_barred
@@ -286,11 +376,10 @@ def train(rows: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.
         for j in range(1, t):
             p = a[:, j - 1, :, None] + step[None] + (e[:, j] + b[:, j])[:, None, :] - z[:, None, None]
             pairs += (np.exp(np.minimum(p, 0)) * both[:, j - 1, None, None]).sum(0)
-        d = (gold - mean).astype(np.float32)
+        d = gold - mean
+        by_key = {p: np.stack([np.bincount(at.ravel(), d[:, :, c].ravel(), minlength=len(has)) for c in range(k)], axis=1) for p, at in places.items()}
         grad = {
-            "own": np.einsum("ntm,ntk->mk", x[:, 1:-1], d, optimize=True),
-            "before": np.einsum("ntm,ntk->mk", x[:, :-2], d, optimize=True),
-            "after": np.einsum("ntm,ntk->mk", x[:, 2:], d, optimize=True),
+            **{p: has.T @ g for p, g in by_key.items()},
             "step": gold_steps - pairs,
             "first": (gold[:, 0] - mean[:, 0]).sum(0),
         }
@@ -355,15 +444,15 @@ class Tagger:
         self.rows: list[tuple[np.ndarray, ...]] = []
         self.table: np.ndarray | None = None
 
-    def _number(self, token: str) -> int:
-        key = token_key(token)
+    def _number(self, token: str, gap: str) -> int:
+        key = token_key(token, gap_kind(gap))
         at = self.keys.get(key)
         if at is None:
             at = self.keys[key] = len(self.rows)
             self.rows.append(self.model.vectors(key))
             self.table = None
         if len(self.tokens) < 300_000 and len(token) < 60:
-            self.tokens[token] = at
+            self.tokens[token if gap == " " else f"{gap}\0{token}"] = at
         return at
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -372,22 +461,22 @@ class Tagger:
             self.tokens, self.keys, self.rows, self.table = {}, {}, [], None
         known, number = self.tokens.get, self._number
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        lines = []  # text, offset, tokens
+        lines = []  # text, offset, tokens, gaps, first token
         ids: list[int] = []
         for i, text in enumerate(texts):
             offset = 0
             for line in text.split("\n"):
                 if line:
-                    tokens = line.split(" ")
-                    lines.append((i, offset, tokens, len(ids)))
-                    ids += [x if (x := known(w)) is not None else number(w) for w in tokens]
+                    tokens, gaps = tokens_of(line)
+                    lines.append((i, offset, tokens, gaps, len(ids)))
+                    ids += [x if (x := known(w if g == " " else f"{g}\0{w}")) is not None else number(w, g) for w, g in zip(tokens, gaps)]
                 offset += len(line) + 1
         if not ids:
             return out
         if self.table is None:
             self.table = np.array(self.rows, dtype=np.float32)  # keys x 3 x labels
         at = np.array(ids, dtype=np.int64)
-        starts = np.array([x[3] for x in lines], dtype=np.int64)
+        starts = np.array([x[-1] for x in lines], dtype=np.int64)
         emissions = self.table[at, 0]
         inner = np.ones(len(at), dtype=bool)
         inner[starts] = False
@@ -396,7 +485,7 @@ class Tagger:
         emissions[follow - 1] += self.table[at[follow], 2]
         windows = self._windows(emissions, starts, len(at)) if self.gated else [(int(s), int(e)) for s, e in zip(starts, [*starts[1:], len(at)])]
         self._decode(windows, emissions, starts, lines, out)
-        return [sorted(x) for x in out]
+        return [sorted(set(x)) for x in out]
 
     def _windows(self, emissions, starts, total) -> list[tuple[int, int]]:
         """Windows around evidence, within lines, merged where they touch.
@@ -420,23 +509,31 @@ class Tagger:
 
     def _decode(self, windows, emissions, starts, lines, out) -> None:
         # Every window is decoded whole; what is padded to the longest of a batch bounds the batch.
+        ends = np.append(starts[1:], len(emissions))
+        wider: list[tuple[int, int]] = []
         for some in _alike(sorted(windows, key=lambda p: p[1] - p[0])):
             lengths = np.array([e - s for s, e in some])
             wide = int(lengths.max())
             take = np.minimum(np.array([s for s, _ in some])[:, None] + np.arange(wide)[None], len(emissions) - 1)
             begin, end = np.array([s for s, _ in some]), np.array([e for _, e in some])
-            opened = ~np.isin(begin, starts)
-            closed = ~(np.isin(end, starts) | (end == len(emissions)))
+            line = np.searchsorted(starts, begin, side="right") - 1
+            opened, closed = begin > starts[line], end < ends[line]
             paths = viterbi(emissions[take].astype(np.float64), lengths, self.model, opened, closed)
-            for (s, e), path in zip(some, paths):
+            for (s, e), path, k, before, behind in zip(some, paths, line.tolist(), opened.tolist(), closed.tolist()):
+                path = path[: e - s]
                 if not path.any():
                     continue
-                line = int(np.searchsorted(starts, s, side="right")) - 1
-                text, offset, tokens, base = lines[line]
-                self._spans(path[: e - s], s - base, tokens, offset, out[text])
+                if (before and path[:2].any()) or (behind and path[-2:].any()):
+                    more = 4 * (e - s)
+                    wider.append((max(s - more, int(starts[k])), min(e + more, int(ends[k]))))
+                    continue
+                text, offset, tokens, gaps, base = lines[k]
+                self._spans(path, s - base, tokens, gaps, offset, out[text])
+        if wider:
+            self._decode(_merged(wider), emissions, starts, lines, out)
 
     @staticmethod
-    def _spans(path, first, tokens, offset, into) -> None:
+    def _spans(path, first, tokens, gaps, offset, into) -> None:
         j, n = 0, len(path)
         while j < n:
             if not path[j]:
@@ -445,8 +542,8 @@ class Tagger:
             kind, stop = LABELS[path[j]][2:], j + 1
             while stop < n and LABELS[path[stop]] == f"I-{kind}":
                 stop += 1
-            a = offset + sum(map(len, tokens[: first + j])) + first + j
-            piece = " ".join(tokens[first + j : first + stop])
+            a = offset + sum(map(len, tokens[: first + j])) + sum(map(len, gaps[1 : first + j + 1]))
+            piece = tokens[first + j] + "".join(g + w for g, w in zip(gaps[first + j + 1 : first + stop], tokens[first + j + 1 : first + stop]))
             core = piece.strip(_EDGE)
             if core:
                 a += len(piece) - len(piece.lstrip(_EDGE))
@@ -454,6 +551,17 @@ class Tagger:
             j = stop
 
 
+def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The windows, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(windows):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def digest(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 

@@ -83,11 +83,10 @@ def extract_blobs(mask: DataFrame, config: MotionConfig = MotionConfig(), keys=(
 
 def blob(t: dict) -> dict:
     """A track as a value of ``BLOB``: its box about the position, cut at 0."""
-    half = np.float32(2)
-    x, y = (max(t[k] - t[s] / half, np.float32(0)) for k, s in (("x", "w"), ("y", "h")))
+    x, y = (max(np.float32(t[k]) - np.float32(t[s]) / np.float32(2), np.float32(0)) for k, s in (("x", "w"), ("y", "h")))
     return {
-        "id": t["id"], "bounds": {"x": int(x), "y": int(y), "w": int(max(t["w"], np.float32(1))), "h": int(max(t["h"], np.float32(1)))},
-        "velocity": {"x": float(t["vx"]), "y": float(t["vy"])}, "age_frames": t["age"], "is_predicted": t["missed"] > 0,
+        "id": t["id"], "bounds": {"x": int(x), "y": int(y), "w": int(max(t["w"], 1)), "h": int(max(t["h"], 1))},
+        "velocity": {"x": t["vx"], "y": t["vy"]}, "age_frames": t["age"], "is_predicted": t["missed"] > 0,
     }
 
 
@@ -95,13 +94,13 @@ def judge(status: str, rects: list[tuple[int, int, int, int]], tracker: Tracker)
     """(blobs, confidence, reliability, failure reason) of one frame; frames that can't be compared leave the tracker alone."""
     if status != "ok":
         return None, 0.0, UNRELIABLE, status
-    half = np.float32(2)
-    tracks = tracker.update([(np.float32(x) + np.float32(w) / half, np.float32(y) + np.float32(h) / half, w, h) for x, y, w, h in rects])
-    if not tracks:
+    boxes = np.array(rects, dtype=np.float32).reshape(-1, 4)
+    tracker.update(np.concatenate([boxes[:, :2] + boxes[:, 2:] / np.float32(2), boxes[:, 2:]], axis=1))
+    if not len(tracker):
         return [], float(np.float32(0.6)), HEURISTIC, STILL
-    blobs = [blob(t) for t in tracks]
+    tracks = tracker.rows()
     grade = PREDICTED if all(t["missed"] for t in tracks) else CORROBORATED if any(t["age"] > 3 for t in tracks) else HEURISTIC
-    return blobs, float(tracker.mean_confidence()), grade, None
+    return [blob(t) for t in tracks], float(tracker.mean_confidence()), grade, None
 
 
 def detect_schema(stream: T.StructField, number: T.DataType) -> T.StructType:
@@ -133,7 +132,7 @@ def detect_motion(pixels: DataFrame, config: MotionConfig = MotionConfig(), stre
         def push(row):
             _, number, status, found, fraction = row
             blobs, sure, grade, reason = judge(status, [(r["x"], r["y"], r["w"], r["h"]) for r in found or []], tracker)
-            return [(number, blobs, sure, SOURCE, grade, reason, fraction, len(tracker.tracks))]
+            return [(number, blobs, sure, SOURCE, grade, reason, fraction, len(tracker))]
 
         return push, lambda: []
 

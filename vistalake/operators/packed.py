@@ -231,7 +231,7 @@ def detect_motion_frames(frames: DataFrame, config: MotionConfig = MotionConfig(
                 mask = packed_mask(before, now, config.threshold)
                 rects, fraction = packed_blobs(mask, config), changed_fraction(mask)
             blobs, sure, grade, reason = judge(status, rects, tracker)
-            return [(number, blobs, sure, SOURCE, grade, reason, fraction, len(tracker.tracks))]
+            return [(number, blobs, sure, SOURCE, grade, reason, fraction, len(tracker))]
 
         return pair
 

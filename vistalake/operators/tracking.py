@@ -20,88 +20,94 @@ _f = np.float32
 GAIN, WEAR, LOSS, FIRST = _f(0.35), _f(0.995), _f(0.6), _f(0.3)
 
 
-def clamp(v) -> np.float32:
-    return _f(min(max(v, _f(0)), _f(1)))
+def combine(a: np.ndarray, b: np.float32) -> np.ndarray:
+    """Independent evidence, within [0, 1]."""
+    return np.clip(a + b - a * b, _f(0), _f(1))
 
 
-def combine(a, b) -> np.float32:
-    return clamp(_f(a) + _f(b) - _f(a) * _f(b))
-
-
-def decay(a, factor) -> np.float32:
-    return clamp(_f(a) * clamp(factor))
+def decay(a: np.ndarray, factor: np.float32) -> np.ndarray:
+    return np.clip(a * factor, _f(0), _f(1))
 
 
 class Tracker:
-    """Tracks of one stream. ``update`` takes the frame's (centre x, centre y, width, height) in order."""
+    """Tracks of one stream as arrays. ``update`` takes a frame's detections (centre x, centre y, width, height)."""
 
-    FIELDS = ("id", "x", "y", "vx", "vy", "w", "h", "seen", "missed", "age", "confidence")
+    FLOATS = ("x", "y", "vx", "vy", "w", "h", "confidence")
+    COUNTS = ("id", "seen", "missed", "age")
 
     def __init__(self, max_distance: float = 48.0, grace: int = 5):
         self.max_distance, self.grace = _f(max_distance), grace
-        self.tracks: list[dict] = []
         self.next_id, self.frame_index = 1, 0
-
-    def update(self, detections: list[tuple[float, float, float, float]]) -> list[dict]:
+        self.real = np.zeros((0, len(self.FLOATS)), dtype=np.float32)
+        self.count = np.zeros((0, len(self.COUNTS)), dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self.real)
+
+    def _claims(self, spots: np.ndarray) -> np.ndarray:
+        """For each track the detection it takes, or -1: nearest free one to where it should be, tracks in order."""
+        claimed = np.full(len(self), -1)
+        if not len(self) or not len(spots):
+            return claimed
+        gap = spots[None] - (self.real[:, None, 0:2] + self.real[:, None, 2:4])
+        far = np.sqrt(gap[..., 0] * gap[..., 0] + gap[..., 1] * gap[..., 1])
+        far[far > self.max_distance] = np.inf
+        for i in np.nonzero(np.isfinite(far).any(1))[0].tolist():
+            at = int(far[i].argmin())  # the first of equals
+            if far[i, at] < np.inf:
+                claimed[i] = at
+                far[:, at] = np.inf
+        return claimed
+
+    def update(self, detections) -> None:
         self.frame_index += 1
-        spots = np.array([d[:2] for d in detections], dtype=np.float32).reshape(-1, 2)
-        free = np.ones(len(spots), dtype=bool)
-        owner: dict[int, dict] = {}
-        for t in self.tracks:
-            if not free.any():
-                break
-            gap = spots - np.array([t["x"] + t["vx"], t["y"] + t["vy"]], dtype=np.float32)
-            far = np.sqrt(gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1])
-            far = np.where(free & (far <= self.max_distance), far, np.inf)
-            at = int(far.argmin())  # the first of equals
-            if np.isfinite(far[at]):
-                free[at] = False
-                owner[at] = t
-        for i, (x, y, w, h) in enumerate(detections):
-            x, y = _f(x), _f(y)
-            t = owner.get(i)
-            if t is None:
-                t = dict(zip(self.FIELDS, (self.next_id, x, y, _f(0), _f(0), _f(w), _f(h), self.frame_index, 0, 1, FIRST)))
-                self.next_id += 1
-                self.tracks.append(t)
-            else:
-                t.update(vx=x - t["x"], vy=y - t["y"], x=x, y=y, w=_f(w), h=_f(h), seen=self.frame_index, missed=0, age=t["age"] + 1, confidence=decay(combine(t["confidence"], GAIN), WEAR))
-        alive = []
-        for t in self.tracks:
-            if t["seen"] != self.frame_index:
-                t["missed"] += 1
-                if t["missed"] > self.grace:
-                    continue
-                t.update(x=t["x"] + t["vx"], y=t["y"] + t["vy"], confidence=decay(t["confidence"], LOSS))
-            alive.append(t)
-        self.tracks = alive
-        return alive
+        found = np.array(detections, dtype=np.float32).reshape(-1, 4)
+        claimed = self._claims(found[:, :2])
+        hit, lost = np.nonzero(claimed >= 0)[0], np.nonzero(claimed < 0)[0]
+        real, count = self.real, self.count
+        took = found[claimed[hit]]
+        real[hit, 2:4] = took[:, :2] - real[hit, :2]
+        real[hit, :2], real[hit, 4:6] = took[:, :2], took[:, 2:]
+        real[hit, 6] = decay(combine(real[hit, 6], GAIN), WEAR)
+        count[hit, 1], count[hit, 2] = self.frame_index, 0
+        count[hit, 3] += 1
+        count[lost, 2] += 1
+        real[lost, :2] += real[lost, 2:4]
+        real[lost, 6] = decay(real[lost, 6], LOSS)
+        stay = count[:, 2] <= self.grace
+        fresh = np.setdiff1d(np.arange(len(found)), claimed)
+        born = np.zeros((len(fresh), len(self.FLOATS)), dtype=np.float32)
+        born[:, :2], born[:, 4:6], born[:, 6] = found[fresh, :2], found[fresh, 2:], FIRST
+        marks = np.stack([self.next_id + np.arange(len(fresh)), np.full(len(fresh), self.frame_index), np.zeros(len(fresh), int), np.ones(len(fresh), int)], axis=1)
+        self.next_id += len(fresh)
+        self.real, self.count = np.concatenate([real[stay], born]), np.concatenate([count[stay], marks.astype(np.int64)])
+
+    def rows(self) -> list[dict]:
+        """The live tracks in order."""
+        names = (*self.FLOATS, *self.COUNTS)
+        return [dict(zip(names, (*r, *c))) for r, c in zip(self.real.tolist(), self.count.tolist())]
 
     def mean_confidence(self) -> np.float32:
-        total = _f(0)
-        for t in self.tracks:
-            total = total + t["confidence"]
-        return total / _f(len(self.tracks)) if self.tracks else _f(0)
+        """The mean, summed in order in single precision."""
+        return np.cumsum(self.real[:, 6], dtype=np.float32)[-1] / _f(len(self)) if len(self) else _f(0)
 
     def to_json(self) -> str:
-        return json.dumps([self.next_id, self.frame_index, [[float(t[k]) if isinstance(t[k], np.floating) else t[k] for k in self.FIELDS] for t in self.tracks]])
+        return json.dumps([self.next_id, self.frame_index, self.real.tolist(), self.count.tolist()])
 
     @classmethod
     def from_json(cls, text: str, max_distance: float, grace: int) -> Tracker:
         out = cls(max_distance, grace)
-        out.next_id, out.frame_index, rows = json.loads(text)
-        for row in rows:
-            t = dict(zip(cls.FIELDS, row))
-            t.update({k: _f(t[k]) for k in ("x", "y", "vx", "vy", "w", "h", "confidence")})
-            out.tracks.append(t)
+        out.next_id, out.frame_index, real, count = json.loads(text)
+        out.real = np.array(real, dtype=np.float32).reshape(-1, len(cls.FLOATS))
+        out.count = np.array(count, dtype=np.int64).reshape(-1, len(cls.COUNTS))
         return out
 
 
 def track_struct(t: dict) -> dict:
     """A track as a value of ``TRACK``."""
     return {
-        "id": t["id"], "position": {"x": float(t["x"]), "y": float(t["y"])}, "velocity": {"x": float(t["vx"]), "y": float(t["vy"])},
-        "width": float(t["w"]), "height": float(t["h"]), "last_seen_frame": t["seen"], "missed_frames": t["missed"], "age_frames": t["age"], "confidence": float(t["confidence"]),
+        "id": t["id"], "position": {"x": t["x"], "y": t["y"]}, "velocity": {"x": t["vx"], "y": t["vy"]},
+        "width": t["w"], "height": t["h"], "last_seen_frame": t["seen"], "missed_frames": t["missed"], "age_frames": t["age"], "confidence": t["confidence"],
     }
 
 
@@ -135,7 +141,8 @@ def track_objects(detections: DataFrame, max_distance: float = 48.0, grace: int
         def close():
             if frame[0] is None:
                 return []
-            return [(frame[0], track_struct(t)) for t in tracker.update(frame[1])]
+            tracker.update(frame[1])
+            return [(frame[0], track_struct(t)) for t in tracker.rows()]
 
         def push(row):
             number, cx = row[1], row[3]

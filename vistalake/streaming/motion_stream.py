@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from vistalake.functions.arrays import frame_array
 from vistalake.model import TRACK
 from vistalake.operators.motion import SOURCE, MotionConfig, WARMING_UP, RESIZED, detect_schema, judge, packed_blobs, packed_mask
+from vistalake.operators.packed import changed_fraction
 from vistalake.operators.tracking import Tracker, track_struct
 
 _MOTION_STATE = "frame_no long, width int, height int, data binary, tracker string"
@@ -28,20 +29,23 @@ def detect_motion_stream(frames: DataFrame, config: MotionConfig = MotionConfig(
         last, width, height, data, saved = state.get if state.exists else (None, 0, 0, b"", None)
         tracker = Tracker.from_json(saved, config.max_match_distance, config.grace_frames) if saved else Tracker(config.max_match_distance, config.grace_frames)
         rows = []
-        for r in pd.concat(list(parts)).sort_values("frame_no", kind="stable").itertuples():
-            if last is not None and r.frame_no <= last:
+        # One copy of each frame of the micro-batch, in order; each is let go once it has been compared.
+        waiting = sorted((r for part in parts for r in part[["frame_no", "width", "height", "data"]].itertuples(index=False, name=None)), key=lambda r: r[0], reverse=True)
+        while waiting:
+            number, w, h, now = waiting.pop()
+            if last is not None and number <= last:
                 continue
             status, rects, fraction = "ok", [], 0.0
             if last is None:
                 status = WARMING_UP
-            elif (width, height) != (r.width, r.height):
+            elif (width, height) != (w, h):
                 status = RESIZED
             else:
-                mask = packed_mask(frame_array(data, width, height), frame_array(r.data, width, height), config.threshold)
-                rects, fraction = packed_blobs(mask, config), float(mask.mean()) if mask.size else 0.0
+                mask = packed_mask(frame_array(data, width, height), frame_array(now, w, h), config.threshold)
+                rects, fraction = packed_blobs(mask, config), changed_fraction(mask)
             blobs, sure, grade, reason = judge(status, rects, tracker)
-            rows.append((key[0], r.frame_no, blobs, sure, SOURCE, grade, reason, fraction, len(tracker.tracks)))
-            last, width, height, data = int(r.frame_no), int(r.width), int(r.height), bytes(r.data)
+            rows.append((key[0], number, blobs, sure, SOURCE, grade, reason, fraction, len(tracker)))
+            last, width, height, data = int(number), int(w), int(h), bytes(now)
         state.update((last, width, height, data, tracker.to_json()))
         yield pd.DataFrame(rows, columns=schema.names)
 
@@ -61,7 +65,8 @@ def track_objects_stream(detections: DataFrame, max_distance: float = 48.0, grac
             if last is not None and number <= last:
                 continue
             seen = some[some["cx"].notna()]
-            rows += [(key[0], number, track_struct(t)) for t in tracker.update(list(seen[["cx", "cy", "w", "h"]].itertuples(index=False, name=None)))]
+            tracker.update(seen[["cx", "cy", "w", "h"]].to_numpy(dtype="float32"))
+            rows += [(key[0], number, track_struct(t)) for t in tracker.rows()]
             last = int(number)
         state.update((last, tracker.to_json()))
         yield pd.DataFrame(rows, columns=schema.names)

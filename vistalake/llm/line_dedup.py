@@ -8,7 +8,7 @@ sites have are boilerplate: all their occurrences but the first (by ``doc_id``,
 A line's key is two 64-bit hashes of the line without white space at its ends. Only keys, positions and ids are
 shuffled for the counts; texts move once, to be joined with the few positions to remove.
 
-Defined cases: blank lines count for nothing and stay; a null text stays null, an empty one empty; a null ``source``
+Defined cases: blank lines count for nothing and stay; a very long text is read whole; a null text stays null, an empty one empty; a null ``source``
 is a site of its own; repeated rows (equal ``doc_id`` and text) are one document and are changed alike; an empty
 table gives an empty result; other columns are kept by ``remove_boilerplate``.
 """

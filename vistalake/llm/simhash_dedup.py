@@ -7,7 +7,7 @@ whose coordinates differ by more than the radius in any pivot can't be within it
 dropped; survivors are verified by their own distance. Rows are sorted by the first coordinate, so the pairs behind
 one are a short run. Links that join nothing new are dropped within a bucket: each yields a forest, not all pairs.
 
-Defined cases: a null or empty text has fingerprint zero; a null ``doc_id`` keeps its fingerprint and, alone with
+Defined cases: a null or empty text has fingerprint zero; a very long text is hashed whole; a null ``doc_id`` keeps its fingerprint and, alone with
 it, a null component; repeated rows are kept; an empty table gives an empty result; extra columns are ignored by
 ``fingerprints`` and kept by ``keep_representatives``.
 """

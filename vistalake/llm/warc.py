@@ -9,7 +9,7 @@ candidate's offset and where its own header says the next record starts. Offsets
 (within a split, over splits), on narrow rows. From each file's start, pointer jumping marks the candidates that the
 chain reaches; magic inside a payload is never reached, and the pieces it cut are joined to their record again.
 
-Defined cases: a null payload is empty; a null id is written as an empty id and read back as null; rows that repeat
+Defined cases: a null payload is empty; a very long one is a record like any other, within Spark's limit of 2 GB a value; a null id is written as an empty id and read back as null; rows that repeat
 id and payload are written alike; an empty table gives empty archives; extra columns are ignored.
 """
 

@@ -115,6 +115,19 @@ def test_bucket_links_connect_like_all_pairs():
     assert groups(200, simhash_dedup.bucket_links(group, fps, 4, levels=(2, 4))) == want
 
 
+def test_shingle_sets_equal_the_shingles():
+    rng = random.Random(3)
+    texts = [None, "", "a", "A b", "a b c d", "x " * 40, *(prose(rng, rng.randint(1, 60)) for _ in range(20))]
+    texts += [t.upper() for t in texts[6:9]]
+    for t in texts:
+        assert len(simhash_dedup.shingle_set(t, 5)) == len(np.unique(simhash_dedup.shingle_hashes(t, 5)))
+        assert (np.diff(simhash_dedup.shingle_set(t, 5).astype(object)) > 0).all()
+    for a in texts:
+        for b in texts:
+            shared = len(np.intersect1d(*(simhash_dedup.shingle_set(t, 5) for t in (a, b))))
+            assert shared == len(np.intersect1d(*(np.unique(simhash_dedup.shingle_hashes(t, 5)) for t in (a, b))))
+
+
 def test_odd_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(4)
     for n in (1, 20, 300, 3000):
@@ -238,7 +251,7 @@ def test_repeated_passages_count_once(spark):
         own, passage = prose(rng, 200), prose(rng, 30)
         texts += [f"{own} {passage}", " ".join([own, *[passage] * times])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    words = {r.doc_id: np.array([r.fp, r.w3]) for r in simhash_dedup.wide_fingerprints(docs, 5, 0.8).collect()}
+    words = {r.doc_id: np.array([r[c] for c in simhash_dedup.COMPARED]) for r in simhash_dedup.wide_fingerprints(docs, 5, 0.8).collect()}
     assert all(np.bitwise_count((words[i] ^ words[i + 1]).view(np.uint64)).sum() <= 34 for i in range(0, len(texts), 2))
     assert similar_components(spark, texts) == brute_similar(texts) == [0, 0, 2, 2, 4, 4, 6, 6]
 
@@ -310,15 +323,16 @@ def test_multi_index_lookups_equal_the_radius_scan(monkeypatch):
     rng = np.random.default_rng(2)
     items = rng.integers(0, 2**64, 40, dtype=np.uint64)
     windows = np.array([rng.choice(items) ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, size=int(rng.integers(1, 30)), replace=False).astype(np.uint64)) for _ in range(1500)], dtype=np.uint64)
-    for pairs, entries in ((1 << 20, 1 << 20), (200, 300)):  # the second in many steps, its buckets forgotten
+    for pairs, held in ((1 << 20, 1 << 30), (200, 3000)):  # the second in many steps, its buckets forgotten
         monkeypatch.setattr(decontaminate, "PAIRS", pairs)
-        monkeypatch.setattr(decontaminate, "BUCKET_ENTRIES", entries)
+        monkeypatch.setattr(decontaminate, "POOL_BYTES", held)
         blocks = decontaminate.Blocks(items)
         for radius in (19, 8, 0):
             found = blocks.within(windows, radius)
             want = np.nonzero(np.bitwise_count(windows[:, None] ^ items[None]) <= radius)
             assert [x.tolist() for x in found] == [x.tolist() for x in want]
         assert [len(x) for x in blocks.within(windows[:0], 19)] == [0, 0]
+        assert sum(x.nbytes + decontaminate.BUCKET_OVERHEAD for x in blocks.buckets.values()) <= held
 
 
 def test_contamination_edge_cases(spark, edge, none, clash, monkeypatch):

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of an Arrow batch: texts may be long, and a batch is held several times over, in the JVM and in Python.
-BATCH_BYTES = 4 << 20
+#: Rows and bytes of an Arrow batch: texts may be long, and a batch is held several times over, in the JVM and in Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound on the bytes of an Arrow batch to ``BATCH_BYTES`` where it is larger.
+    """Lowers the session's bounds on the rows and bytes of an Arrow batch where they are larger.
 
-    The bound is read when a query is planned, after the operator has returned, so it has to be the session's.
+    They are read when a query is planned, after the operator has returned, so they have to be the session's.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key).removesuffix("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def crc_bucket(doc_id, modulus: int):
@@ -130,11 +131,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def lean_worker() -> None:
-    """In a Python worker: forgets what the tokenizer's tasks remembered, before a task of another kind."""
+    """In a Python worker: forgets what the tokenizer's tasks remembered, before a task of another kind.
+
+    Memory that earlier tasks have freed goes back to the system, as workers outlive their tasks.
+    """
     packing = sys.modules.get("vistalake.llm.packing")
     if packing is not None and packing.encoder_of.cache_info().currsize:
         packing.encoder_of.cache_clear()
         gc.collect()
+    pa.system_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
 
 
 def fresh_name(taken, wanted: str) -> str:

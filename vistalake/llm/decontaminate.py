@@ -34,8 +34,8 @@ from vistalake.llm.common import bound_batches, fresh_name, lean_worker, table
 
 SIZE, SIMILARITY, RADIUS = 5, 0.8, 19
 BLOCK_BYTES = 16 << 20
-#: Window starts that are hashed at once, pairs that a lookup holds, and entries that the buckets of a length hold.
-STRETCH, PAIRS, BUCKET_ENTRIES = 4096, 1 << 20, 4 << 20
+#: Window starts that are hashed at once, pairs that a lookup holds, bytes of all buckets, and of an empty one.
+STRETCH, PAIRS, POOL_BYTES, BUCKET_OVERHEAD = 4096, 1 << 18, 32 << 20, 400
 _EDGE = b"\"'`.,;:!?()[]{}<>*$%&#|-_=+~^/\\"
 
 
@@ -78,6 +78,21 @@ def window_prints(codes: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+class Pool:
+    """What the buckets of all lengths of items may hold together; they are forgotten when it is full."""
+
+    def __init__(self):
+        self.members: list[Blocks] = []
+        self.held = 0
+
+    def take(self, size: int) -> None:
+        self.held += size
+        if self.held > POOL_BYTES:
+            for blocks in self.members:
+                blocks.buckets = {}
+            self.held = size
+
+
 class Blocks:
     """A multi-index of fingerprints: which of them are near a value in each of their four blocks of 16 bits.
 
@@ -85,20 +100,19 @@ class Blocks:
     fingerprints that near in this block; it is made when a window first asks for it and then looked up.
     """
 
-    def __init__(self, prints: np.ndarray):
+    def __init__(self, prints: np.ndarray, pool: Pool | None = None):
         self.prints = prints
         self.blocks = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, 4)
         self.buckets: dict[tuple[int, int, int], np.ndarray] = {}
-        self.held = 0
+        self.pool = pool or Pool()
+        self.pool.members.append(self)
 
     def bucket(self, block: int, value: int, reach: int) -> np.ndarray:
         found = self.buckets.get((block, value, reach))
         if found is None:
             found = np.nonzero(np.bitwise_count(self.blocks[:, block] ^ np.uint16(value)) <= reach)[0]
-            if self.held > BUCKET_ENTRIES:
-                self.buckets, self.held = {}, 0
+            self.pool.take(found.nbytes + BUCKET_OVERHEAD)
             self.buckets[block, value, reach] = found
-            self.held += len(found) + 8
         return found
 
     def within(self, windows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +177,8 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
     alike: dict[tuple[int, int], list[int]] = {}
     for k, item in enumerate(made):
         alike.setdefault((item.size, int(item.counts.sum())), []).append(k)
-    lengths = {key: (np.array(own), Blocks(np.array([made[k].print for k in own], dtype=np.uint64))) for key, own in alike.items()}
+    pool = Pool()
+    lengths = {key: (np.array(own), Blocks(np.array([made[k].print for k in own], dtype=np.uint64), pool)) for key, own in alike.items()}
     return Index(made, vocabulary, anchors, lengths)
 
 

@@ -28,8 +28,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Items that a partition packs at once, and how much room a bin may have to count as nearly full.
 MOST_ITEMS, NEARLY = 120_000, 2
 SEPARATOR = "<|endoftext|>"
-#: Chunks that a worker remembers (about 180 MB).
-CACHE_WORDS = 900_000
+#: Chunks that a worker remembers (about 120 MB), and characters that it encodes at once.
+CACHE_WORDS, ENCODED = 600_000, 1_500_000
 MEMBER = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -109,7 +109,7 @@ def token_pieces(documents: DataFrame, path: str | None = None, capacity: int =
             begin = 0
             while begin < len(texts):
                 end, size = begin, 0
-                while end < len(texts) and (end == begin or size + len(texts[end] or "") <= 3_000_000):
+                while end < len(texts) and (end == begin or size + len(texts[end] or "") <= ENCODED):
                     size += len(texts[end] or "")
                     end += 1
                 rows = [(d, *p) for d, ids in zip(docs[begin:end], encoder.encode([t or "" for t in texts[begin:end]])) for p in pieces_of(ids, capacity)]

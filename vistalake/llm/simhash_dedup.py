@@ -29,7 +29,7 @@ SEED, RADIUS, PIVOTS = 42, 4, 16
 #: What tells sets of shingles apart: two hashes of the sorted set.
 SAME = ("s0", "s1")
 #: The words of a wide fingerprint, and those that the distance of similar texts is taken from.
-WIDE, COMPARED = ("fp", "w1", "w2", "w3"), ("fp", "w3")
+WIDE, COMPARED = ("fp", "w1", "w2"), ("fp", "w2")
 #: The most bits of an odd sketch; it has 4 to 8 bits a shingle up to that.
 SKETCH_BITS = 8192
 #: Documents that tell which shingles are common, and the most of these that are remembered.
@@ -59,6 +59,20 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])], dtype=np.uint64)
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Distinct hashes, rising, of the runs of ``size`` words (as for ``shingle_hashes``), made of the words' hashes."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_digest
+    hashes = np.frombuffer(b"".join([digest(w, SEED) for w in words]), dtype=">u8").astype(np.uint64)
+    size = min(size, len(words))
+    runs = np.full(len(words) - size + 1 if words else 0, size, dtype=np.uint64)
+    for k in range(size):  # a factor of its own for each place
+        runs += hashes[k : k + len(runs)] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64))
+    runs = mixed(runs, 1)
+    runs.sort()
+    return runs[np.diff(runs, prepend=~runs[:1]) != 0]
+
+
 def majority(hashes: np.ndarray) -> int:
     """The bits that more than half of the hashes have."""
     if not len(hashes):
@@ -95,7 +109,7 @@ def common_shingles(documents: DataFrame, size: int) -> tuple[np.ndarray, np.nda
     def run(batches):
         lean_worker()
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, size)) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["shingle"])
 
     some = _texts(documents).where(F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(every)) == 0).mapInArrow(run, "shingle long")
@@ -127,18 +141,15 @@ def odd_sketch(shingles: np.ndarray) -> bytes:
     there are few collisions. Halves of a sketch, combined by exclusive or, make the sketch of half the bits.
     """
     bits = min(SKETCH_BITS, max(64, 1 << (4 * len(shingles) - 1).bit_length()))
-    places, counts = np.unique(mixed(shingles, 7) & np.uint64(bits - 1), return_counts=True)
-    odd = places[counts % 2 == 1]
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    np.bitwise_or.at(out, (odd >> np.uint64(6)).astype(np.int64), np.uint64(1) << (odd & np.uint64(63)))
-    return out.tobytes()
+    places = (mixed(shingles, 7) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
 def wide_fingerprints(documents: DataFrame, size: int, similarity: float) -> DataFrame:
     """``doc_id``, the words of ``SAME`` and ``WIDE``, the number ``n`` of distinct shingles, their ``prefix`` and ``sketch``.
 
-    All words are majorities over distinct shingles, the sets that similarity is taken of; ``fp`` so differs from that
-    of ``fingerprints`` where shingles repeat. ``w1`` to ``w3`` are made of other hashes of the same shingles.
+    All words are majorities over distinct shingles, the sets that similarity is taken of, by hashes of their own;
+    ``fp`` so differs from that of ``fingerprints``. The others are made of other hashes of the same shingles.
     """
     bound_batches(documents.sparkSession)
     carrier = documents.sparkSession.sparkContext.broadcast(common_shingles(documents, size))
@@ -150,7 +161,7 @@ def wide_fingerprints(documents: DataFrame, size: int, similarity: float) -> Dat
             found = np.zeros((batch.num_rows, len(names)), dtype=np.uint64)
             sizes, prefixes, sketches = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                distinct = np.unique(shingle_hashes(t, size))
+                distinct = shingle_set(t, size)
                 for k in range(len(SAME)):
                     found[i, k] = xxhash.xxh64_intdigest(distinct.tobytes(), SEED + k)
                 for k in range(len(WIDE)):
@@ -191,18 +202,19 @@ def sampled_keys(distinct: DataFrame, tables: int = 8, seed: int = 9) -> DataFra
     """``rep``, the compared words and each bucket ``key`` of wide fingerprints.
 
     For similarities whose distances no short list of exact keys reaches. Each key is a sample of four nibbles of the
-    48 in ``w1`` to ``w3``. Shingle sets with a similarity of 0.8 differ in about 15 % of the bits, so a pair shares a
+    words behind ``fp``. Shingle sets with a similarity of 0.8 differ in about 15 % of the bits, so a pair shares a
     given key with probability 0.85**16 = 0.074; at 0.95, 4 % of the bits, with 0.52. The keys are the same at every size; long buckets are tiled.
     """
     width = 4
     rng = np.random.default_rng(seed)
-    chosen = np.array([sorted(rng.choice(48, size=width, replace=False)) for _ in range(tables)])
+    places = 16 * len(WIDE[1:])
+    chosen = np.array([sorted(rng.choice(places, size=width, replace=False)) for _ in range(tables)])
     numbers = np.arange(len(chosen), dtype=np.int64) << 52
 
     def run(batches):
         for batch in batches:
             words = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in WIDE[1:]], axis=1)
-            nibbles = (words[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4)) & np.uint64(15)).reshape(len(words), 48).astype(np.int64)
+            nibbles = (words[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4)) & np.uint64(15)).reshape(len(words), places).astype(np.int64)
             keys = numbers[None] + (nibbles[:, chosen] << (4 * np.arange(width))).sum(2)
             again = np.repeat(np.arange(len(words)), len(chosen))
             kept = ["rep", *COMPARED]
@@ -537,7 +549,7 @@ def cluster(prints: DataFrame, links, words: tuple[str, ...] = WIDE[:1]) -> Data
 
 
 #: Ids, or keys of buckets, that may be broadcast; beyond it a join is shuffled.
-BROADCAST_IDS, BROADCAST_KEYS = 2_000_000, 1_000_000
+BROADCAST_IDS, BROADCAST_KEYS = 500_000, 100_000
 
 
 def verified_links(documents: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -549,7 +561,7 @@ def verified_links(documents: DataFrame, pairs: DataFrame, size: int, similarity
     def run(batches):
         lean_worker()
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
     with scratch_scope(documents.sparkSession) as kept:

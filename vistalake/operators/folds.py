@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable, schema) -> DataFrame:
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable, schema, partitions: int | None = None) -> DataFrame:
     """For each key ``start()`` gives ``(push, finish)``: ``push(row)`` for its rows in order, then ``finish()``.
 
     Both return output rows as tuples, without the key, which is put in front of them. ``schema`` has the keys first.
+    ``partitions`` are not merged by their size, for rows that take long for their bytes.
     """
     names = list(rows.columns)
     at = [names.index(k) for k in keys]
@@ -42,7 +43,8 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Call
         if out:
             yield _batch(out, target)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    dealt = rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

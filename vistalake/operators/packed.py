@@ -198,7 +198,8 @@ def _pairwise(status_of: Callable, frames: DataFrame, stream: str, schema: T.Str
 
         return push, lambda: []
 
-    return ordered_fold(frames.select(stream, "frame_no", *FRAME), [stream], ["frame_no"], start, schema)
+    partitions = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ordered_fold(frames.select(stream, "frame_no", *FRAME), [stream], ["frame_no"], start, schema, partitions)
 
 
 def motion_of(frames: DataFrame, config: MotionConfig = MotionConfig(), stream: str = "stream_id") -> DataFrame:

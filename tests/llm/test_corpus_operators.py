@@ -460,6 +460,28 @@ def test_encoder_equals_whole_texts():
         assert got == [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in some]
 
 
+def test_encoder_asks_once_for_a_word_in_all_its_forms():
+    from tokenizers import Tokenizer
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.asked = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.asked += sum(map(len, texts))
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    encoder = packing.Encoder(packing.tokenizer_path())
+    encoder.tokenizer = counting = Counting(encoder.tokenizer)
+    odd = ["İ. I\u0307, ß! ª? µ. ǅ, Σας. ΣΑΣ.", "<|endoftext|>. a<|startoftext|>b, <|ENDOFTEXT|>!", "it's. IT'S, 's. x'LL!", "e\u0301. É, é! ÿ% Ÿ%", "... .a a.b. 5. a5, ½. \u00a0x. a\tb.", "日本. x日, ﬁ. K! Å?"]
+    forms = [" ".join(f"{word}{marks}" for word in ("unterhaltungen", "Unterhaltungen", "ÜBERMUT", "übermut") for marks in ("", ".", ",", "!?", "###", "...", "$$$"))]
+    for texts in (forms, odd, odd):
+        assert encoder.encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        if texts is forms:
+            assert counting.asked < 120 < len(forms[0])
+
+
 def test_sequences(spark, sample, monkeypatch):
     monkeypatch.setattr(packing, "MOST_ITEMS", 50)
     rows = packing.sequences(sample, capacity=256).collect()

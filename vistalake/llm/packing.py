@@ -11,6 +11,7 @@ own; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -31,6 +32,8 @@ SEPARATOR = "<|endoftext|>"
 #: Chunks that a worker remembers (about 120 MB), and characters that it encodes at once.
 CACHE_WORDS, ENCODED = 600_000, 1_500_000
 MEMBER = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Marks that are cut from a word's end, the pattern that also cuts there, and what ends a word's last id.
+MARKS, PATTERN, WORD_END = ".,;:!?#$%&*", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -43,7 +46,8 @@ class Encoder:
     """Token ids of texts as little-endian bytes.
 
     The vocabulary never joins characters across white space, so chunks between spaces and line ends are encoded one
-    by one and the common ones are remembered.
+    by one and the common ones are remembered. A chunk of Latin-1 letters and ``MARKS`` behind them is put together from
+    the lower-case word and the marks, since ``PATTERN`` cuts between them and case doesn't count.
     """
 
     def __init__(self, path: str):
@@ -53,21 +57,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
         self.cache: dict[str, bytes] = {"": b""}
+        self.ends = _word_ends(path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        needed: set[str] = set()
-        for c in chunks:
-            needed.update(c)
         cache = self.cache
-        missing = [w for w in needed if w not in cache]
-        cache.update(zip(missing, self._encode_words(missing)))
-        out = [b"".join(map(cache.__getitem__, c)) for c in chunks]
-        full = len(cache) > CACHE_WORDS
-        for w in missing:
-            if full or len(w) > 40:
-                del cache[w]
-        return out
+        known, gaps = [], []
+        for t in texts:  # one text after the other, so that only the chunks that aren't remembered stay
+            chunks = t.replace("\n", " ").split(" ")
+            ids = list(map(cache.get, chunks))
+            at = [i for i, x in enumerate(ids) if x is None]
+            known.append(ids)
+            gaps.append((at, [chunks[i] for i in at]))
+        found = self._encode_chunks(set().union(*(missing for _, missing in gaps)))
+        for ids, (at, missing) in zip(known, gaps):
+            for i, chunk in zip(at, missing):
+                ids[i] = found[chunk]
+        if len(cache) + len(found) <= CACHE_WORDS:
+            cache.update((w, x) for w, x in found.items() if len(w) <= 40)
+        return [b"".join(ids) for ids in known]
+
+    def _encode_chunks(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of each chunk, and of the words and marks that chunks are put together from."""
+        words, others, parts = set(), set(), []
+        for chunk in missing:
+            word = chunk.rstrip(MARKS)
+            if self.ends is not None and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+                marks, word = chunk[len(word) :], word.lower()
+                parts.append((chunk, word, marks))
+                words.add(word)
+                others.add(marks)
+            else:
+                others.add(chunk)
+        found = {w: self.cache[w] for w in words.union(others).intersection(self.cache)}
+        for some, encode in ((words, self._encode_plain), (others, self._encode_words)):
+            some = list(some.difference(found))
+            found.update(zip(some, encode(some)))
+        found.update([(chunk, found[word] + found[marks]) for chunk, word, marks in parts])
+        return found
+
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        """One call for words of letters alone; each ends where an id does that ends a word."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (4 * np.nonzero(self.ends[ids])[0] + 4).tolist()
+        if len(cuts) != len(words):
+            return self._encode_words(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """One call for all words, with a special token between them that tells their ids apart."""
@@ -82,6 +119,20 @@ class Encoder:
         return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])]
 
 
+def _word_ends(path: str) -> np.ndarray | None:
+    """Which ids end a word, if the vocabulary cuts text by ``PATTERN`` and marks these ids, else None."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    steps = (held.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    changes = [x["type"] for x in (held.get("normalizer") or {}).get("normalizers") or []]
+    if steps[0].get("pattern") != {"Regex": PATTERN} or changes != ["NFC", "Replace", "Lowercase"] or held["model"].get("end_of_word_suffix") != WORD_END:
+        return None
+    vocabulary = held["model"]["vocab"]
+    ends = np.zeros(1 + max([*vocabulary.values(), *(x["id"] for x in held.get("added_tokens") or [])]), dtype=bool)
+    ends[[k for word, k in vocabulary.items() if word.endswith(WORD_END)]] = True
+    return ends
+
+
 @lru_cache(maxsize=2)
 def encoder_of(path: str) -> Encoder:
     """One encoder for each Python worker: what it remembers serves the tasks that follow."""

@@ -644,6 +644,24 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert all(sum(docs[i] == text for i in kept) <= 1 for text, n in Counter(docs.values()).items() if n > 1)
 
 
+def test_near_duplicate_scratch_has_few_files(spark, monkeypatch):
+    rng = random.Random(19)
+    texts = [prose(rng, 60) for _ in range(30)]
+    rows = [(k, texts[k % 30] + f" {k // 30}") for k in range(90)]
+    files, write = {}, simhash_dedup.materialize
+
+    def counted(df, label, *more, **options):
+        out = write(df, label, *more, **options)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "materialize", counted)
+    found = simhash_dedup.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(12)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: k % 30 for k in range(90)}
+    assert files["fingerprints"] > 4
+    assert {files[x] for x in ("shingle-sets", "candidates", "proposed", "open-buckets", "buckets")} == {1}
+
+
 def test_scratch_is_deleted(spark, sample):
     """Only what a result reads is left when an operator has returned."""
     from vistalake.llm import common

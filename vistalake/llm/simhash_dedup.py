@@ -502,15 +502,15 @@ def remaining_links(documents: DataFrame, distinct: DataFrame, found: DataFrame,
     # The smaller set of a pair has the shared shingle among fewer, which a bucket needs one of.
     early = F.col("n") - F.col("pos") >= F.lit(2 * similarity / (1 + similarity)) * F.col("n") - 1e-6
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("part").alias("a"), F.max("part").alias("b"), F.max(early).alias("useful"))
-    several = materialize(sizes.where("rows > 1 AND a <> b AND useful").select("key", "rows"), "open-buckets")
-    keyed = materialize(_tiled(rows.join(broadcast_small(several, BROADCAST_KEYS), "key"), "rep").select("key", "tile", "rep", "mine", "part", "n", "pos"), "buckets")
+    several = materialize(sizes.where("rows > 1 AND a <> b AND useful").select("key", "rows"), "open-buckets", gather=True)
+    keyed = materialize(_tiled(rows.join(broadcast_small(several, BROADCAST_KEYS), "key"), "rep").select("key", "tile", "rep", "mine", "part", "n", "pos"), "buckets", gather=True)
     release(nodes, several)
     sketches = distinct.select("rep", "sketch")
     for every in (False, True):
         left = keyed.join(sketches, "rep").select("key", "tile", "rep", "mine", "part", "n", "pos", "sketch")
         proposed = left.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_proposal_batches(similarity, every), "u long, v long, key long, tile long")
-        proposed = materialize(proposed, "proposed")
-        pairs = materialize(proposed.select("u", "v").distinct(), "candidates")
+        proposed = materialize(proposed, "proposed", gather=True)
+        pairs = materialize(proposed.select("u", "v").distinct(), "candidates", gather=True)
         similar = verified_links(documents, pairs, size, similarity)
         found = found.unionByName(similar)
         # A tile whose forest was verified is done: what the forest left out is joined by its links.
@@ -567,7 +567,7 @@ def verified_links(documents: DataFrame, pairs: DataFrame, size: int, similarity
     with scratch_scope(documents.sparkSession) as kept:
         ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "candidate-ids")
         texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(broadcast_small(ids, BROADCAST_IDS), "id", "left_semi")
-        sets = materialize(texts.mapInArrow(run, "id long, shingles array<long>"), "shingle-sets")
+        sets = materialize(texts.mapInArrow(run, "id long, shingles array<long>"), "shingle-sets", gather=True)
         both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
         shared = F.size(F.array_intersect("a", "b"))
         alike = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v").distinct()
@@ -594,7 +594,7 @@ def similar_documents(documents: DataFrame, size: int = 5, similarity: float = 0
     def links(distinct: DataFrame) -> DataFrame:
         pairs = near_links(distinct, radius, sampled_keys(distinct), COMPARED)
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = materialize(plausible_links(pairs, distinct, similarity), "candidates")
+        pairs = materialize(plausible_links(pairs, distinct, similarity), "candidates", gather=True)
         first = verified_links(documents, pairs, size, similarity)
         return remaining_links(documents, distinct, first, size, similarity)
 

@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from vistalake.functions.arrays import color_mask
 from vistalake.functions.color import color_pixel
-from vistalake.operators import bars, drawing, quality, regions, runs
+from vistalake.operators import bars, drawing, packed, quality, regions, runs
 from vistalake.operators.motion import fold_runs
+from vistalake.sources import rasters
 
 import rasters as R
 
@@ -45,6 +47,32 @@ def test_bar_with_a_groove_like_its_surroundings_reads_full(spark):
     assert read(spark, [image])[0][0] == 100
 
 
+def test_bar_fill_never_broadcasts_drawn_pixels(spark):
+    rows = spark.createDataFrame([(i, 300.0 * i) for i in range(30)], "s_suppkey long, s_acctbal double")
+    px = rasters.gauges(rows)
+    wanted = regions.find_color_bar(px, (0, 0, 96, 32), (340, 30), 0.35, 0.3).withColumns({"sx": F.lit(0), "sw": F.lit(96), "width": F.lit(96), "height": F.lit(32)})
+    got = bars.measure_bar_fill(px, wanted, RED)
+    assert got.where("fill IS NOT NULL").count() == wanted.count() > 0
+    assert got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Once to find the bars and once to measure them.
+    assert "Broadcast" not in plan and plan.count("Generate inline") == 2
+
+
+def test_bar_fill_learns_the_upper_median(spark):
+    # An even number of samples behind the fill, half of each colour: the higher one is the groove.
+    image = bar(x=20, w=60, size=(120, 40), groove=(16, 16, 16))
+    image[14:22, 50:80, :3] = 16
+    image[14:22, 50:80:2, :3] = 90
+    want = packed.bar_fill(image, (20, 14, 30, 8), (0, 120), color_mask((340, 30), 0.35, 0.3))
+    assert read(spark, [image], fills=[(0, 20, 14, 30, 8)])[0] == want
+
+
+def test_bar_without_pixels_has_a_reason(spark):
+    got = read(spark, [bar()], fills=[(0, 100, 14, 100, 8), (7, 100, 14, 100, 8), (8, 100, 14, 0, 8)])
+    assert got == {0: (50, None), 7: (None, "no track found"), 8: (None, "bar has no usable area")}
+
+
 def test_row_runs(spark):
     image = R.box(R.frame(40, 4, (0, 0, 0)), 5, 1, 15, 1, (230, 20, 20))
     R.box(image, 25, 1, 4, 1, (230, 20, 20))

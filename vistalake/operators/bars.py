@@ -11,10 +11,10 @@ from vistalake.functions.confidence import f32
 BOUNDARY_TOLERANCE, GROOVE_TOLERANCE = 3, 38
 
 
-def _median(channel: str, test: Column) -> Column:
-    """The upper median of a channel among the rows that pass."""
-    values = F.array_sort(F.collect_list(F.when(test, F.col(channel))))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def _median(channel: str, test: str, keys: list[str]) -> Column:
+    """The upper median of a channel among the key's rows that pass; it holds one count for each value."""
+    ordered = f"WITHIN GROUP (ORDER BY CASE WHEN {test} THEN {channel} END DESC)"
+    return F.expr(f"percentile_disc(0.5) {ordered} OVER (PARTITION BY {', '.join(keys)})").cast("int")
 
 
 def core_rows(bars: DataFrame) -> DataFrame:
@@ -29,47 +29,51 @@ def measure_bar_fill(pixels: DataFrame, bars: DataFrame, is_filled: Predicate, k
     """``keys, fill, failure_reason`` of every bar: percent (float), or null and why.
 
     ``bars`` has one row for each key: the fill's ``x, y, w, h``, the searched ``sx, sw`` and the frame's ``width,
-    height``. Bars meet their pixels once, by key; the empty colour and the colour outside are aggregates of that
-    join, and the walk to both sides is a window over columns.
+    height``. Pixels and bars are read once and meet once, by key; only the bar's core and the row outside are kept.
+    The empty colour and the colour outside are windows over these, and the walk to both sides is a window over columns.
     """
     keys = list(keys)
     right = F.least(F.col("sx") + F.col("sw"), F.col("width").cast("long"))
     usable = (F.col("w") > 0) & (F.col("h") > 0) & (F.col("y") < F.col("height")) & (F.col("x") >= F.col("sx")) & (F.col("x") < F.col("width"))
-    known = core_rows(bars.select(*keys, *(F.col(c).cast("long").alias(c) for c in ("x", "y", "w", "h", "sx", "sw", "width", "height")))).withColumn("right", right)
-    usable_bars = known.where(usable).select(*keys, *(F.col(c).alias(f"bar_{c}") for c in ("x", "y", "w", "h", "sx", "right", "row0", "row1", "width")))
-    in_core = (F.col("y") >= F.col("bar_row0")) & (F.col("y") < F.col("bar_row1"))
-    above = F.col("y") == F.col("bar_y") - 3
-    joined = pixels.join(usable_bars, keys).where(in_core & (F.col("x") < F.greatest(F.col("bar_right"), F.col("bar_x") + 1)) | above)
-    joined = joined.withColumn("is_filled", is_filled(*(F.col(c) for c in "rgba"))).withColumn("in_core", in_core)
+    known = core_rows(bars.select(*keys, *(F.col(c).cast("long").alias(c) for c in ("x", "y", "w", "h", "sx", "sw", "width", "height")))).withColumns({"right": right, "usable": usable})
+    known = known.select(*(F.col(k).alias(f"bar_{k}") for k in keys), *(F.col(c).alias(f"bar_{c}") for c in ("x", "y", "w", "sx", "right", "row0", "row1", "width", "usable")))
+
+    # Two walks: to the left from the fill's first column, and to the right from the one behind it.
+    walked = ((F.col("x") >= F.col("bar_sx")) | (F.col("x") > F.col("bar_x"))) & ((F.col("x") < F.col("bar_right")) | (F.col("x") <= F.col("bar_x")))
+    in_core = (F.col("y") >= F.col("bar_row0")) & (F.col("y") < F.col("bar_row1")) & walked
+    outer = (F.col("y") == F.col("bar_y") - 3) & (F.col("x") >= F.col("bar_x")) & (F.col("x") < F.least(F.col("bar_x") + F.col("bar_w"), F.col("bar_width")))
+    # Spark takes pixels that a generator draws for as few bytes as the rows they come from, and would broadcast them. The
+    # hint makes the bars, one row for each key, the hashed side in every partition. A bar without pixels keeps one row.
+    met = F.col("bar_usable") & (in_core | outer)
+    for k in keys:
+        met = met & (F.col(k) == F.col(f"bar_{k}"))
+    joined = pixels.select(*keys, "x", "y", *"rgba").join(known.hint("shuffle_hash"), met, "right")
+    joined = joined.drop(*keys).withColumnsRenamed({f"bar_{k}": k for k in keys}).withColumns({"in_core": in_core, "outer": outer, "is_filled": is_filled(*(F.col(c) for c in "rgba"))})
 
     first = F.col("bar_x") + F.col("bar_w") + 2
     sample = F.col("in_core") & (F.col("x") >= first) & (F.col("x") < F.least(first + 6, F.col("bar_right"))) & (F.col("a") >= 128) & ~F.col("is_filled")
-    outer = above & (F.col("x") >= F.col("bar_x")) & (F.col("x") < F.least(F.col("bar_x") + F.col("bar_w"), F.col("bar_width")))
-    colours = joined.where(sample | outer).groupBy(*keys).agg(
-        F.struct(*(_median(c, sample).alias(c) for c in "rgb")).alias("groove"), F.struct(*(_median(c, outer).alias(c) for c in "rgb")).alias("outside")
-    )
-    g = [F.col("groove").getField(c) for c in "rgb"]
-    is_outside = F.coalesce(similar(*g, F.col("outside"), GROOVE_TOLERANCE), F.lit(False))
-    learned = colours.select(*keys, F.when(g[0].isNotNull() & ~is_outside, F.col("groove")).alias("groove"))
+    learned = joined.withColumn("sample", sample)
+    learned = learned.withColumns({f"{test}_{c}": _median(c, test, keys) for test in ("sample", "outer") for c in "rgb"})
+    groove, outside = (F.struct(*(F.col(f"{test}_{c}").alias(c) for c in "rgb")) for test in ("sample", "outer"))
+    is_outside = F.coalesce(similar(*(F.col(f"sample_{c}") for c in "rgb"), outside, GROOVE_TOLERANCE), F.lit(False))
+    empty = ~is_outside & F.coalesce(similar(F.col("r"), F.col("g"), F.col("b"), groove, GROOVE_TOLERANCE), F.lit(False))
 
-    core = joined.where(F.col("in_core")).join(learned, keys, "left")
-    empty = F.coalesce(similar(F.col("r"), F.col("g"), F.col("b"), F.col("groove"), GROOVE_TOLERANCE), F.lit(False))
-    columns = core.groupBy(*keys, "x", "bar_x", "bar_row0", "bar_row1", "bar_sx", "bar_right").agg(
+    # Rows outside the core count in no column; they, and bars without pixels, go to a column null.
+    columns = learned.groupBy(*keys, "bar_usable", "bar_x", "bar_row0", "bar_row1", F.when(F.col("in_core"), F.col("x")).alias("x")).agg(
         F.count_if(F.col("is_filled")).alias("n_filled"), F.count_if(~F.col("is_filled") & empty).alias("n_empty")
     )
     rows = F.col("bar_row1") - F.col("bar_row0")
-    kind = F.when(2 * F.col("n_filled") > rows, F.lit("F")).when(2 * F.col("n_empty") > rows, F.lit("E"))
-    # Two walks: to the left from the fill's first column, and to the right from the one behind it.
-    side = F.when(F.col("x") <= F.col("bar_x"), F.lit(0)).otherwise(F.lit(1))
+    kind = F.when(F.col("x").isNull(), None).when(2 * F.col("n_filled") > rows, F.lit("F")).when(2 * F.col("n_empty") > rows, F.lit("E"))
+    side = F.when(F.col("x") <= F.col("bar_x"), F.lit(0)).when(F.col("x") > F.col("bar_x"), F.lit(1))
     step = F.abs(F.col("x") - F.col("bar_x"))
-    classed = columns.where("x >= bar_sx OR x > bar_x").where("x < bar_right OR x <= bar_x").select(*keys, side.alias("side"), step.alias("step"), kind.alias("kind"))
+    classed = columns.select(*keys, "bar_usable", side.alias("side"), step.alias("step"), kind.alias("kind"))
     walk = f"PARTITION BY {', '.join(keys)}, side ORDER BY step"
     # A fourth unclear column in a row ends the walk; fewer are credited to the next clear column.
     classed = classed.withColumn("stop", F.expr(f"count_if(kind IS NULL) OVER ({walk} ROWS BETWEEN {BOUNDARY_TOLERANCE} PRECEDING AND CURRENT ROW) = {BOUNDARY_TOLERANCE + 1}"))
-    classed = classed.withColumn("ended", F.expr(f"max(stop) OVER ({walk})")).where(~F.col("ended"))
-    credited = classed.withColumn("kind", F.expr(f"first_value(kind) IGNORE NULLS OVER ({walk} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")).where("kind IS NOT NULL")
-    totals = credited.groupBy(*keys).agg(F.count_if(F.col("kind") == "F").alias("filled"), F.count(F.lit(1)).alias("track"))
-    ratio = (f32(F.col("filled")) / f32(F.col("track"))).cast("float") * f32(100)
-    measured = totals.select(*keys, F.least(F.greatest(ratio, f32(0)), f32(100)).alias("fill"))
-    reason = F.when(~usable, "bar has no usable area").when(F.col("fill").isNull(), "no track found")
-    return known.join(measured, keys, "left").select(*keys, "fill", reason.alias("failure_reason"))
+    classed = classed.withColumn("kind", F.expr(f"CASE WHEN NOT max(stop) OVER ({walk}) THEN kind END"))
+    credited = classed.withColumn("kind", F.expr(f"first_value(kind) IGNORE NULLS OVER ({walk} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"))
+    totals = credited.groupBy(*keys, "bar_usable").agg(F.count_if(F.col("kind") == "F").alias("filled"), F.count("kind").alias("track"))
+    ratio = (f32(F.col("filled")) / f32(F.nullif(F.col("track"), F.lit(0)))).cast("float") * f32(100)
+    fill = F.when(F.col("track") > 0, F.least(F.greatest(ratio, f32(0)), f32(100)))
+    reason = F.when(~F.col("bar_usable"), "bar has no usable area").when(fill.isNull(), "no track found")
+    return totals.select(*keys, fill.alias("fill"), reason.alias("failure_reason"))
